@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -66,17 +67,28 @@ class Index:
         self.pairs = np.zeros(1 << _FILTER_BITS, bool)
         for ids in self.ids:
             self.pairs[self._pair(ids[:-1], ids[1:])] = True
-        self.sizes = sorted({len(x) for x in self.ids})
+        by_size: dict[int, list[int]] = defaultdict(list)
+        for at, ids in enumerate(self.ids):
+            by_size[len(ids)].append(at)
+        self.sizes = sorted(by_size)
+        # Sizes within a fifth of each other are looked for together first.
+        self.classes: list[list[int]] = []
+        for n in self.sizes:
+            if self.classes and n <= 1.2 * self.classes[-1][0]:
+                self.classes[-1].append(n)
+            else:
+                self.classes.append([n])
         rng = np.random.default_rng(20_240_601)
         # Of each walk: whether a word moves the pointer at a step, 64 steps in a number for each word.
-        longest = 3 * max(self.sizes, default=1)
+        longest = 2 * max(self.sizes, default=1)
         self.moves = [[_mix(np.arange(len(self.vocab) + 1), 1_000_003 * (w + 1) + 7919 * k) for k in range(longest // 64 + 1)] for w in range(WALKS)]
         self.spots = {(w, n): np.sort(rng.choice(2 * n, min(SAMPLES, 2 * n), replace=False)) for n in self.sizes for w in range(WALKS)}
-        self.tables: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for at, ids in enumerate(self.ids):
-            for w, keys in enumerate(self.embed(ids[None, :])):
-                self.tables[w, len(ids)][int(keys[0])].append(at)
-        self.tables = {k: dict(v) for k, v in self.tables.items()}
+        self.tables: dict[tuple[int, int], dict[int, list[int]]] = {}
+        for n, places in by_size.items():
+            for w, keys in enumerate(self.embed(np.array([self.ids[at] for at in places]))):
+                table = self.tables[w, n] = {}
+                for at, key in zip(places, keys.tolist(), strict=True):
+                    table.setdefault(key, []).append(at)
 
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -101,54 +113,62 @@ class Index:
             yield key
 
     def candidates(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """(start, item) of windows that share an embedding key with an item.
+        """(start, item) of windows that share an embedding key with an item; ``ids`` ends in padding.
 
         A window within k word edits of an item of n words keeps at least n - 1 - 2 k of the item's
         word pairs, so windows with fewer pairs of any item are passed over: none of them can match.
         """
         found: set[tuple[int, int]] = set()
-        if not self.sizes or not len(ids):
-            return found
-        hit = np.zeros(len(ids) + 1, np.int64)
-        both = (ids[:-1] > 0) & (ids[1:] > 0)
-        hit[1:-1] = both & self.pairs[self._pair(ids[:-1], ids[1:])]
-        total = np.cumsum(hit)  # total[i]: pairs that begin before place i
-        words = np.concatenate([[0], np.cumsum(ids > 0)])
-        for n in self.sizes:
-            k = int(EDIT_SHARE * n)
-            if total[-1] < n - 1 - 2 * k:
+        hit = np.zeros(len(ids) + 1, np.int32)
+        both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        hit[both + 1] = self.pairs[self._pair(ids[both], ids[both + 1])]
+        total = np.cumsum(hit, dtype=np.int32)  # total[i]: pairs that begin before place i
+        least = {n: n - 1 - 2 * int(EDIT_SHARE * n) for n in self.sizes}
+        for sizes in self.classes:
+            n = sizes[-1]
+            if len(ids) <= n:
                 continue
-            # Windows at the end may be up to k words short; starts may be that far off as well.
-            starts = np.arange(max(1, len(ids) - n + k + 1))
-            ends = np.minimum(starts + n, len(ids))
-            pairs = total[np.maximum(ends - 1, 0)] - total[starts]
-            good = (pairs >= max(0, n - 1 - 2 * k)) & (words[ends] - words[starts] >= n - k)
-            starts = starts[good]
-            for at in range(0, len(starts), 4096):
-                some = starts[at : at + 4096]
-                wide = np.concatenate([ids, np.zeros(n, np.int64)])
-                windows = wide[some[:, None] + np.arange(n)]
-                for w, keys in enumerate(self.embed(windows)):
-                    table = self.tables[w, n]
-                    for s, key in zip(some.tolist(), keys.tolist(), strict=True):
-                        if key in table:
-                            found.update((s, item) for item in table[key])
+            if all(least[n] > 0 for n in sizes):
+                some = np.flatnonzero(total[n - 1 : len(ids) - 1] - total[: len(ids) - n] >= min(least[n] for n in sizes))
+            else:
+                some = np.flatnonzero(ids[: len(ids) - n] > 0)
+            for n in sizes if len(some) else []:
+                k = int(EDIT_SHARE * n)
+                starts = some[total[some + n - 1] - total[some] >= least[n]] if least[n] > 0 else some
+                for at in range(0, len(starts), 4096):
+                    windows = ids[starts[at : at + 4096, None] + np.arange(n)]
+                    close = (windows > 0).sum(axis=1) >= n - k
+                    places = starts[at : at + 4096][close].tolist()
+                    for w, keys in enumerate(self.embed(windows[close]) if places else []):
+                        table = self.tables[w, n]
+                        for s, key in zip(places, keys.tolist(), strict=True):
+                            if key in table:
+                                found.update((s, item) for item in table[key])
         return found
 
-    def matches(self, text: str) -> list[dict]:
-        """The items that leak into a text, each with its closest window (the first of equal ones)."""
-        words = words_of(text)
-        ids = np.fromiter((self.vocab.get(w, 0) for w in words), np.int64, len(words))
-        best: dict[int, tuple[int, int]] = {}
+    def matches(self, texts: list[str]) -> list[list[dict]]:
+        """For each text the items that leak into it, each with its closest window (the first of equal ones)."""
+        if not self.sizes:
+            return [[] for _ in texts]
+        split = [words_of(t) for t in texts]
+        gap, get = np.zeros(self.sizes[-1] + 1, np.int64), self.vocab.get
+        parts, starts, at = [], [], 0
+        for words in split:
+            parts += [np.fromiter((get(w, 0) for w in words), np.int64, len(words)), gap]
+            starts.append(at)
+            at += len(words) + len(gap)
+        ids = np.concatenate(parts) if parts else gap
+        best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
         for start, item in sorted(self.candidates(ids)):
-            n = len(self.ids[item])
-            limit = int(EDIT_SHARE * n)
-            if item in best and best[item][0] == 0:
+            text = bisect_right(starts, start) - 1
+            n, end = len(self.ids[item]), starts[text] + len(split[text])
+            limit, seen = int(EDIT_SHARE * n), best[text].get(item)
+            if start >= end or (seen and seen[0] == 0):
                 continue
-            d = edit_distance(self.ids[item].tolist(), ids[start : start + n].tolist(), limit)
-            if d <= limit and (item not in best or (d, start) < best[item]):
-                best[item] = (d, start)
-        return [{"item_id": self.items[i][0], "start_word": s, "n_words": len(self.ids[i]), "edits": d} for i, (d, s) in sorted(best.items())]
+            d = edit_distance(self.ids[item].tolist(), ids[start : min(end, start + n)].tolist(), limit)
+            if d <= limit and (seen is None or d < seen[0]):
+                best[text][item] = (d, start - starts[text])
+        return [[{"item_id": self.items[i][0], "start_word": s, "n_words": len(self.ids[i]), "edits": d} for i, (d, s) in sorted(b.items())] for b in best]
 
 
 MATCH = "array<struct<item_id:bigint,start_word:int,n_words:int,edits:int>>"
@@ -183,13 +203,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", into:
     place = [c.lower() for c in rows.columns].index(text.lower())
     out = None
     for block in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block))
         source = rows if out is None else out
 
         def run(batches, shared=shared, first=out is None):
-            index = Index(shared.value)
+            index = shared.value
             for batch in batches:
-                found = [index.matches(t or "") for t in batch.column(place).to_pylist()]
+                found = index.matches([t or "" for t in batch.column(place).to_pylist()])
                 if first:
                     columns = batch.columns
                 else:

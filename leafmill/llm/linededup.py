@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import text_or_empty
 
-#: Lines of fewer words than this are no evidence; blocks of fewer words than this stay.
-LINE_WORDS, BLOCK_WORDS = 3, 20
+#: Blocks of fewer words than this stay; a line of as many is a block by itself.
+BLOCK_WORDS = 20
 
-#: A line ends after a newline, or after a sentence mark and one space: passages recur inside lines.
-LINE_END = r"(?<=\n)|(?<=[.!?] )"
+#: A line has three words or more and ends after a newline, or after a sentence mark and one space, if
+#: three words follow: passages recur inside lines, and shorter sentences belong to what comes next.
+LINE = r"(?s)\s*+(?:\S++\s++){2}\S.*?(?:(?:\n|[.!?] )(?=\s*+\S++\s++\S++\s++\S)|$)|.++$"
 
 
 def lines_of(text: Column) -> Column:
     """A text's lines with what separates them; in a row they give the text again."""
-    return F.split(text, LINE_END)
+    return F.regexp_extract_all(text, F.lit(LINE), 0)
 
 
 def _aligned(q: list[int]) -> list[int]:
@@ -105,36 +106,45 @@ def _align(left: list[tuple[int, int, int]], least: int) -> list[tuple[int, int]
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(key, cut): for documents with a block to delete, the numbers of its lines.
 
-    Documents are in the order of doc_id (null first), then of their key. A line's partner is the
-    first document that holds it, which makes a star of pairs however many documents share it; a
+    Documents are in the order of doc_id (null first), then of their key. A partner is the
+    first document that holds a line and its successor, which makes a star of pairs however many documents share it; a
     line needs no cap and no list of all its documents. Each document aligns with each partner.
     """
-    norm = F.transform(lines_of(text_or_empty(text)), lambda t, i: F.struct(i.alias("line"), F.lower(F.trim(F.regexp_replace(t, r"\s+", " "))).alias("t")))
-    counted = F.transform(norm, lambda x: F.struct(x["line"].alias("line"), F.size(F.split(x["t"], " ")).alias("words"), x["t"].alias("t")))
+    norm = F.transform(lines_of(text_or_empty(text)), lambda t: F.lower(F.trim(F.regexp_replace(t, r"\s+", " "))))
     doc = F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key")).alias("doc")
-    rows = docs.select(doc, F.posexplode(F.filter(counted, lambda x: x["words"] >= LINE_WORDS)).alias("at", "l"))
-    rows = rows.select("doc", "at", "l.line", "l.words", F.xxhash64("l.t").alias("h1"), F.hash("l.t").alias("h2"))
+    lines = docs.select(doc, F.transform(norm, lambda t: F.struct(F.size(F.split(t, " ")).alias("words"), t.alias("t"))).alias("lines"))
+    # What is looked up is a line with its successor, so that a common line in a rare place is found
+    # with its neighbours; and by itself a line that makes a block alone.
+    pairs = F.transform("lines", lambda x, i: F.struct(i.alias("at"), x["words"].alias("words"), F.get("lines", i + 1)["words"].alias("next"), F.xxhash64(x["t"], F.get("lines", i + 1)["t"]).alias("h1"), F.hash(x["t"], F.get("lines", i + 1)["t"]).alias("h2")))
+    alone = F.transform("lines", lambda x, i: F.struct(i.alias("at"), x["words"].alias("words"), F.lit(0).alias("next"), F.xxhash64(F.lit("alone"), x["t"]).alias("h1"), F.hash(x["t"]).alias("h2")))
+    units = F.concat(F.filter(pairs, lambda x: x["next"].isNotNull()), F.filter(alone, lambda x: x["words"] >= block_words))
+    rows = lines.select("doc", F.explode(units).alias("u")).select("doc", "u.*")
     first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last"))
     shared = first.where("first.doc <> last").select("h1", "h2", "first")
     matched = rows.join(shared, ["h1", "h2"]).where("first.doc <> doc")
-    slim = matched.select(F.col("doc.key").alias("key"), F.col("first.doc.key").alias("partner"), "at", F.col("first.at").alias("there"), "line", "words")
-    slim = slim.repartition("key").sortWithinPartitions("key", "partner", F.col("at") - F.col("there"), "at")
+    slim = matched.select(F.col("doc.key").alias("key"), F.col("first.doc.key").alias("partner"), "at", F.col("first.at").alias("there"), "words", "next")
+    slim = slim.repartition("key").sortWithinPartitions("key")
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
 
     def run(batches):
         held = None
 
         def cuts(rows: list[np.ndarray]) -> pa.RecordBatch:
-            key, partner, at, there, _, words = rows
+            both = rows[5] > 0
+            ends = [rows[0][both], rows[1][both], rows[2][both] + 1, rows[3][both] + 1, rows[5][both]]
+            key, partner, at, there, words = (np.concatenate(x) for x in zip(rows[:5], ends, strict=True))
+            order = np.lexsort((at, at - there, partner, key))
+            key, partner, at, there, words = (x[order] for x in (key, partner, at, there, words))
+            once = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(partner) != 0) | (np.diff(at) != 0) | (np.diff(there) != 0)])
+            key, partner, at, there, words = (x[once] for x in (key, partner, at, there, words))
             keep = np.flatnonzero(_long_runs([key, partner], at, there, words, block_words))
-            lines = dict(zip(zip(key[keep].tolist(), at[keep].tolist(), strict=True), rows[4][keep].tolist(), strict=True))
             groups: dict[tuple[int, int], list] = {}
             for k, f, a, b, w in zip(*(x[keep].tolist() for x in (key, partner, at, there, words)), strict=True):
                 groups.setdefault((k, f), []).append((a, b, w))
             found: dict[int, set[int]] = {}
             for (k, _), pairs in groups.items():
-                for a, b in _align(sorted(set(pairs)), block_words):
-                    found.setdefault(k, set()).update(range(lines[k, a], lines[k, b] + 1))
+                for a, b in _align(sorted(pairs), block_words):
+                    found.setdefault(k, set()).update(range(a, b + 1))
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([sorted(x) for x in found.values()], pa.list_(pa.int32()))], ["key", "cut"])
 
         for batch in batches:
