@@ -33,7 +33,8 @@ def fit_ratio(raw: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text:
     """
     ids = trusted.select(F.col(doc_id).alias("__id")).distinct()
     rows = raw.select(F.col(doc_id).alias("__doc"), text_or_empty(text).alias("text"))
-    rows = rows.join(ids.withColumn("__in", F.lit(1)), F.col("__doc") == F.col("__id"), "left")
+    # Always by shuffle: the labels grow with the corpus, and one way of joining costs alike at any size.
+    rows = rows.join(ids.withColumn("__in", F.lit(1)).hint("merge"), F.col("__doc") == F.col("__id"), "left")
     words = rows.select(F.coalesce("__in", F.lit(0)).alias("t"), _words(F.col("text")).alias("w"))
     counts = words.select("t", F.explode(_grams(F.col("w"))).alias("g")).groupBy("g").agg(F.count("*").alias("raw"), F.sum("t").alias("trusted"))
     n = {r.g: (r.raw, r.trusted) for r in counts.collect()}
