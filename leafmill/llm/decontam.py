@@ -23,14 +23,13 @@ WALKS, SAMPLES = 24, 3
 #: Items broadcast at once, and their bytes; a larger benchmark is searched block by block.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 
-_GAPS = str.maketrans({c: " " for c in "  "})
 _PUNCT = string.punctuation.encode()
 _FILTER_BITS = 20
 
 
 def words_of(text: str) -> list[bytes]:
     """Lower-cased words without ASCII punctuation."""
-    return text.translate(_GAPS).lower().encode("utf-8", "surrogatepass").translate(None, _PUNCT).split()
+    return " ".join(text.split()).lower().encode("utf-8", "surrogatepass").translate(None, _PUNCT).split()
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
@@ -64,25 +63,23 @@ class Index:
         self.items = [(i, w) for i, t in items if (w := words_of(t or ""))]
         self.vocab: dict[bytes, int] = {}
         self.ids = [np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int64) for _, w in self.items]
-        self.pairs = np.zeros(1 << _FILTER_BITS, bool)
-        for ids in self.ids:
-            self.pairs[self._pair(ids[:-1], ids[1:])] = True
         by_size: dict[int, list[int]] = defaultdict(list)
         for at, ids in enumerate(self.ids):
             by_size[len(ids)].append(at)
         self.sizes = sorted(by_size)
-        # Sizes within a fifth of each other are looked for together first.
-        self.classes: list[list[int]] = []
-        for n in self.sizes:
-            if self.classes and n <= 1.2 * self.classes[-1][0]:
-                self.classes[-1].append(n)
-            else:
-                self.classes.append([n])
+        # For each hashed word pair a bit for the sizes of the items that hold it (sizes 64 apart share one).
+        self.pairs = np.zeros(1 << _FILTER_BITS, np.uint64)
+        for at, n in enumerate(self.sizes):
+            for ids in (self.ids[i] for i in by_size[n]):
+                self.pairs[self._pair(ids[:-1], ids[1:])] |= np.uint64(1 << at % 64)
         rng = np.random.default_rng(20_240_601)
         # Of each walk: whether a word moves the pointer at a step, 64 steps in a number for each word.
         longest = 2 * max(self.sizes, default=1)
-        self.moves = [[_mix(np.arange(len(self.vocab) + 1), 1_000_003 * (w + 1) + 7919 * k) for k in range(longest // 64 + 1)] for w in range(WALKS)]
-        self.spots = {(w, n): np.sort(rng.choice(2 * n, min(SAMPLES, 2 * n), replace=False)) for n in self.sizes for w in range(WALKS)}
+        self.moves = np.array([[_mix(np.arange(len(self.vocab) + 1), 1_000_003 * (w + 1) + 7919 * k) for w in range(WALKS)] for k in range(longest // 64 + 1)])
+        self.spots = {n: np.zeros((2 * n, WALKS), bool) for n in self.sizes}
+        for n, spots in self.spots.items():
+            for w in range(WALKS):
+                spots[rng.choice(2 * n, min(SAMPLES, 2 * n), replace=False), w] = True
         self.tables: dict[tuple[int, int], dict[int, list[int]]] = {}
         for n, places in by_size.items():
             for w, keys in enumerate(self.embed(np.array([self.ids[at] for at in places]))):
@@ -94,7 +91,7 @@ class Index:
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return ((a * 0x9E3779B1 + b * 0x85EBCA6B) >> 7) & ((1 << _FILTER_BITS) - 1)
 
-    def embed(self, windows: np.ndarray) -> Iterator[np.ndarray]:
+    def embed(self, windows: np.ndarray) -> np.ndarray:
         """For each walk the sampled positions of the windows' CGK embeddings, as one number each.
 
         A walk copies the word under its pointer to the output and moves on or stays, as a random
@@ -102,48 +99,51 @@ class Index:
         """
         rows, n = windows.shape
         padded = np.concatenate([windows, np.zeros((rows, 1), np.int64)], axis=1)
-        line = np.arange(rows)
-        for w in range(WALKS):
-            pointer, key, spots = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), set(self.spots[w, n].tolist())
-            for step in range(max(spots) + 1):
-                here = padded[line, np.minimum(pointer, n)]
-                if step in spots:
-                    key = _mix(key * np.uint64(31) + here.astype(np.uint64), step)
-                pointer += (self.moves[w][step >> 6][here] >> np.uint64(step & 63)).astype(np.int64) & 1
-            yield key
-
-    def candidates(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """(start, item) of windows that share an embedding key with an item; ``ids`` ends in padding.
-
-        A window within k word edits of an item of n words keeps at least n - 1 - 2 k of the item's
-        word pairs, so windows with fewer pairs of any item are passed over: none of them can match.
+        line, walk = np.arange(rows)[None, :], np.arange(WALKS)[:, None]
+        pointer, key = np.zeros((WALKS, rows), np.int64), np.zeros((WALKS, rows), np.uint64)
+        for step, spots in enumerate(self.spots[n]):
+            here = padded[line, pointer]
+            if spots.any():
+                key[spots] = _mix(key[spots] * np.uint64(31) + here[spots].astype(np.uint64), step)
+            pointer += ((self.moves[step >> 6][walk, here] >> np.uint64(step & 63)) & np.uint64(1)).astype(np.int64)
+            np.minimum(pointer, n, out=pointer)
+        return key
+
+    def candidates(self, ids: np.ndarray) -> dict[tuple[int, int], int]:
+        """(start, item) of windows that share embedding keys with an item, and how many.
+
+        ``ids`` ends in padding. A window within k word edits of an item of n words keeps at least
+        n - 1 - 2 k of the item's word pairs, so windows with fewer pairs of items of that size are
+        passed over: none of them can match.
         """
-        found: set[tuple[int, int]] = set()
-        hit = np.zeros(len(ids) + 1, np.int32)
+        found: dict[tuple[int, int], int] = defaultdict(int)
         both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-        hit[both + 1] = self.pairs[self._pair(ids[both], ids[both + 1])]
-        total = np.cumsum(hit, dtype=np.int32)  # total[i]: pairs that begin before place i
-        least = {n: n - 1 - 2 * int(EDIT_SHARE * n) for n in self.sizes}
-        for sizes in self.classes:
-            n = sizes[-1]
-            if len(ids) <= n:
-                continue
-            if all(least[n] > 0 for n in sizes):
-                some = np.flatnonzero(total[n - 1 : len(ids) - 1] - total[: len(ids) - n] >= min(least[n] for n in sizes))
+        masks = self.pairs[self._pair(ids[both], ids[both + 1])]
+        hits, masks = both[masks > 0], masks[masks > 0]
+        for at, n in enumerate(self.sizes):
+            k = int(EDIT_SHARE * n)
+            least = n - 1 - 2 * k
+            if least > 0:
+                own = hits[(masks >> np.uint64(at % 64)) & np.uint64(1) > 0]
+                low, high = own[: max(0, len(own) - least + 1)], own[least - 1 :]
+                dense = high - low <= n - 2
+                if not dense.any():
+                    continue
+                # The starts whose window covers so many pairs in a row.
+                first, last = np.maximum(high[dense] - (n - 2), 0), low[dense]
+                starts = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first.tolist(), last.tolist(), strict=True)]))
             else:
-                some = np.flatnonzero(ids[: len(ids) - n] > 0)
-            for n in sizes if len(some) else []:
-                k = int(EDIT_SHARE * n)
-                starts = some[total[some + n - 1] - total[some] >= least[n]] if least[n] > 0 else some
-                for at in range(0, len(starts), 4096):
-                    windows = ids[starts[at : at + 4096, None] + np.arange(n)]
-                    close = (windows > 0).sum(axis=1) >= n - k
-                    places = starts[at : at + 4096][close].tolist()
-                    for w, keys in enumerate(self.embed(windows[close]) if places else []):
-                        table = self.tables[w, n]
-                        for s, key in zip(places, keys.tolist(), strict=True):
-                            if key in table:
-                                found.update((s, item) for item in table[key])
+                starts = np.flatnonzero(ids > 0)
+            starts = starts[starts + n <= len(ids)]
+            for i in range(0, len(starts), 2048):
+                some = starts[i : i + 2048]
+                windows = ids[some[:, None] + np.arange(n)]
+                some = some[close := (windows > 0).sum(axis=1) >= n - k].tolist()
+                for w, keys in enumerate(self.embed(windows[close]) if some else []):
+                    table = self.tables[w, n]
+                    for s, key in zip(some, keys.tolist(), strict=True):
+                        for item in table.get(key, ()):
+                            found[s, item] += 1
         return found
 
     def matches(self, texts: list[str]) -> list[list[dict]]:
@@ -159,14 +159,15 @@ class Index:
             at += len(words) + len(gap)
         ids = np.concatenate(parts) if parts else gap
         best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        for start, item in sorted(self.candidates(ids)):
+        found = self.candidates(ids)
+        for start, item in sorted(found, key=lambda x: (-found[x], x)):
             text = bisect_right(starts, start) - 1
             n, end = len(self.ids[item]), starts[text] + len(split[text])
             limit, seen = int(EDIT_SHARE * n), best[text].get(item)
             if start >= end or (seen and seen[0] == 0):
                 continue
             d = edit_distance(self.ids[item].tolist(), ids[start : min(end, start + n)].tolist(), limit)
-            if d <= limit and (seen is None or d < seen[0]):
+            if d <= limit and (seen is None or (d, start - starts[text]) < seen):
                 best[text][item] = (d, start - starts[text])
         return [[{"item_id": self.items[i][0], "start_word": s, "n_words": len(self.ids[i]), "edits": d} for i, (d, s) in sorted(b.items())] for b in best]
 
