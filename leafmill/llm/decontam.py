@@ -6,6 +6,7 @@ import string
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -154,7 +155,7 @@ class Index:
         gap, get = np.zeros(self.sizes[-1] + 1, np.int64), self.vocab.get
         parts, starts, at = [], [], 0
         for words in split:
-            parts += [np.fromiter((get(w, 0) for w in words), np.int64, len(words)), gap]
+            parts += [np.fromiter(map(get, words, repeat(0)), np.int64, len(words)), gap]
             starts.append(at)
             at += len(words) + len(gap)
         ids = np.concatenate(parts) if parts else gap
