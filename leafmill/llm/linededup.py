@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import text_or_empty
+from leafmill.llm.common import materialize, small_batches, text_or_empty
 
 #: Blocks of fewer words than this stay; a line of as many is a block by itself.
 BLOCK_WORDS = 20
 
 #: A line has three words or more and ends after a newline, or after a sentence mark and one space, if
 #: three words follow: passages recur inside lines, and shorter sentences belong to what comes next.
-LINE = r"(?s)\s*+(?:\S++\s++){2}\S.*?(?:(?:\n|[.!?] )(?=\s*+\S++\s++\S++\s++\S)|$)|.++$"
+LINE = r"(?s)[ \t-\r]*+(?:[^ \t-\r]++[ \t-\r]++){2}[^ \t-\r].*?(?:(?:\n|[.!?] )(?=[ \t-\r]*+[^ \t-\r]++[ \t-\r]++[^ \t-\r]++[ \t-\r]++[^ \t-\r])|\z)|.++\z"
+_LINE = re.compile(LINE.replace(r"\z", r"\Z"))
 
 
 def lines_of(text: Column) -> Column:
@@ -24,6 +27,22 @@ def lines_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LINE), 0)
 
 
+def units_of(text: str, alone: int = BLOCK_WORDS) -> list[tuple[int, int, int, int]]:
+    """(line number, words, words of the next line or 0, hash): what is looked up in other documents.
+
+    That is a line with its successor, so that a common line in a rare place is found with its
+    neighbours; and by itself a line that makes a block alone. White space and case do not count.
+    """
+    split = [x.lower().encode("utf-8", "surrogatepass").split() for x in _LINE.findall(text)]
+    lines, out = [b" ".join(x) for x in split], []
+    for i, (words, line) in enumerate(zip(split, lines, strict=True)):
+        if i + 1 < len(lines):
+            out.append((i, len(words), len(split[i + 1]), xxhash.xxh3_64_intdigest(line + b"\n" + lines[i + 1])))
+        if len(words) >= alone:
+            out.append((i, len(words), 0, xxhash.xxh3_64_intdigest(line + b"\n")))
+    return out
+
+
 def _aligned(q: list[int]) -> list[int]:
     """Patience: the indexes of a longest ascending run of ``q``."""
     piles: list[int] = []
@@ -110,19 +129,27 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first document that holds a line and its successor, which makes a star of pairs however many documents share it; a
     line needs no cap and no list of all its documents. Each document aligns with each partner.
     """
-    norm = F.transform(lines_of(text_or_empty(text)), lambda t: F.lower(F.trim(F.regexp_replace(t, r"\s+", " "))))
-    doc = F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key")).alias("doc")
-    lines = docs.select(doc, F.transform(norm, lambda t: F.struct(F.size(F.split(t, " ")).alias("words"), t.alias("t"))).alias("lines"))
-    # What is looked up is a line with its successor, so that a common line in a rare place is found
-    # with its neighbours; and by itself a line that makes a block alone.
-    pairs = F.transform("lines", lambda x, i: F.struct(i.alias("at"), x["words"].alias("words"), F.get("lines", i + 1)["words"].alias("next"), F.xxhash64(x["t"], F.get("lines", i + 1)["t"]).alias("h1"), F.hash(x["t"], F.get("lines", i + 1)["t"]).alias("h2")))
-    alone = F.transform("lines", lambda x, i: F.struct(i.alias("at"), x["words"].alias("words"), F.lit(0).alias("next"), F.xxhash64(F.lit("alone"), x["t"]).alias("h1"), F.hash(x["t"]).alias("h2")))
-    units = F.concat(F.filter(pairs, lambda x: x["next"].isNotNull()), F.filter(alone, lambda x: x["words"] >= block_words))
-    rows = lines.select("doc", F.explode(units).alias("u")).select("doc", "u.*")
-    first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last"))
-    shared = first.where("first.doc <> last").select("h1", "h2", "first")
-    matched = rows.join(shared, ["h1", "h2"]).where("first.doc <> doc")
-    slim = matched.select(F.col("doc.key").alias("key"), F.col("first.doc.key").alias("partner"), "at", F.col("first.at").alias("there"), "words", "next")
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), text_or_empty(text).alias("text"))
+
+    def split(batches):
+        for batch in batches:
+            found = [units_of(t, block_words) for t in batch.column("text").to_pylist()]
+            of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            at, words, following, h = (np.array(x) for x in zip(*(u for x in found for u in x), strict=True)) if len(of) else [np.empty(0, int)] * 4
+            kept = [batch.column(k).take(pa.array(of)) for k in ("id", "key")]
+            made = [pa.array(x.astype(np.int32)) for x in (at, words, following)]
+            yield pa.RecordBatch.from_arrays([*kept, *made, pa.array(h.astype(np.uint64).view(np.int64))], ["id", "key", "at", "words", "next", "h"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = materialize(texts.mapInArrow(split, f"id {kind}, key long, at int, words int, next int, h long"), "lines")
+    doc = F.struct("id", "key")
+    first = rows.groupBy("h").agg(F.min(F.struct("id", "key", "at")).alias("first"), F.max(doc).alias("last"))
+    first = first.where("first.key <> last.key")
+    # Written, so that both sides of the join are plain exchanges and a hot line's can be split.
+    shared = materialize(first.select("h", F.col("first.key").alias("partner"), F.col("first.at").alias("there")), "shared-lines")
+    matched = rows.join(shared, "h").where("partner <> key")
+    slim = matched.select("key", "partner", "at", "there", "words", "next")
     slim = slim.repartition("key").sortWithinPartitions("key")
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
 
@@ -167,10 +194,10 @@ def delete_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A text keeps its other lines as they were; white space at the end of a cut text
     goes. Null texts stay null; texts without a long enough shared block stay as they are. Rows
     with equal id and text are one document, so repeated rows leave each other alone. With
-    ``counts``, n_lines and n_cut (long) are added (and replace columns called so).
+    ``counts``, n_cut (long), the number of deleted lines, is added (and replaces a column called so).
     """
     cuts = repeated_lines(docs, doc_id, text, block_words).select(F.col("key").alias("__cut_key"), "cut")
-    own = [c for c in docs.columns if not (counts and c.lower() in ("n_lines", "n_cut"))]
+    own = [c for c in docs.columns if not (counts and c.lower() == "n_cut")]
     rows = docs.withColumn("__key", F.xxhash64(F.col(doc_id), F.col(text)))
     rows = rows.join(cuts, rows["__key"] == cuts["__cut_key"], "left")
     lines = lines_of(F.col(text))
@@ -178,5 +205,5 @@ def delete_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     new = F.when(F.col("cut").isNull(), F.col(text)).otherwise(F.regexp_replace(left, r"\s+$", ""))
     out = [new.alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in own]
     if counts:
-        out += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_cut")]
+        out += [F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_cut")]
     return rows.select(*out)

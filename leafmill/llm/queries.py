@@ -58,7 +58,7 @@ def op7_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = linededup.delete_repeats(docs, counts=True)
-    return out.select("doc_id", "n_lines", "n_cut", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return out.select("doc_id", "n_cut", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def op9_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
