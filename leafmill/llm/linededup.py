@@ -128,6 +128,8 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Documents are in the order of doc_id (null first), then of their key. A partner is the
     first document that holds a line and its successor, which makes a star of pairs however many documents share it; a
     line needs no cap and no list of all its documents. Each document aligns with each partner.
+    Of a line that the partner repeats only the first place is known, so a block of one line again
+    and again is not found; whole copies of such texts are left to near-duplicate removal.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), text_or_empty(text).alias("text"))
