@@ -109,7 +109,10 @@ def score_rules(docs: DataFrame, ratios: list[float], text: str = "text", lowest
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         F.when(n > 0, ratio / (2 * n - 1)).otherwise(0.0).alias("mean_ratio"),
+        F.monotonically_increasing_id().alias("__m"),
     )
     failed = (c("n_words") < 50) | (100 * c("n_repeat_words") > 50 * c("n_words"))
-    verdict = c("mean_ratio") >= lowest
-    return e.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict)
+    # A condition on the results must not be pushed below: it would put whole arrays' expressions into
+    # the functions over their elements. A column that is not deterministic stops that.
+    verdict = (c("mean_ratio") >= lowest) & (c("__m") >= 0)
+    return e.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict).drop("__m")
