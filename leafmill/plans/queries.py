@@ -132,13 +132,13 @@ def used_resources_semijoin(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS)
-    OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS active_font FROM events"""
+    """SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS)
+    OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS active_font FROM events"""
 )
 def active_font_asof(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     change = F.when(F.col("event_type") == "purchase", F.col("event_id"))
-    return _table(spark, sf_dir, "events").select("event_id", F.last(change, True).over(w).alias("active_font"))
+    return _table(spark, sf_dir, "events").select("event_id", F.coalesce(F.last(change, True).over(w), F.lit(-1)).alias("active_font"))
 
 
 @query(
