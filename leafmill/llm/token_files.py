@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +23,35 @@ class LibraryEncoder(dict):
     """Runs without white space and their ids, as the tokenizers library encodes them.
 
     No token of the vocabulary crosses white space, so a text's ids are its runs' ids in a row.
+    A full table becomes the older one, from which runs still in use come back unencoded.
     """
 
     def __init__(self, path: str):
-        self.model = library(path)
+        self.model, self.older = library(path), {}
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         if len(self) > CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
         split = [chunks_of(t) for t in texts]
-        unseen = [*set().union(*split) - self.keys()]
+        unseen = []
+        for chunk in set().union(*split) - self.keys():
+            if (ids := self.older.get(chunk)) is None:
+                unseen.append(chunk)
+            else:
+                self[chunk] = ids
         for chunk, e in zip(unseen, self.model.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
             self[chunk] = np.array(e.ids, "<u4").tobytes()
         return [b"".join(map(self.__getitem__, chunks)) + end for chunks in split]
 
 
+@lru_cache(maxsize=1)
+def library_encoder(path: str) -> LibraryEncoder:
+    """One table for all tasks of a worker; the library's own threads would fight over the executors' cores."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return LibraryEncoder(path)
+
+
 def encode_in_order(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, part, place, before, n_tokens, tokens) in ascending id order, each document closed by ``end_id``.
 
@@ -47,7 +63,7 @@ def encode_in_order(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_
     rows = with_local_order(rows, "doc_id", "text")
 
     def run(batches):
-        encoder, end, before = LibraryEncoder(path), np.array([end_id], "<u4").tobytes(), 0
+        encoder, end, before = library_encoder(path), np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
             ids = encoder.encode(batch.column("text").to_pylist(), end)
             n = np.array([len(i) // 4 for i in ids], np.int64)
