@@ -6,9 +6,8 @@ import re
 import zlib
 from collections.abc import Callable, Mapping, Sequence
 
-
-class FilterError(ValueError):
-    """Data that a filter cannot read, or a filter that does not exist."""
+from leafmill.functions.errors import FilterError
+from leafmill.functions.fax import fax_decode
 
 
 def flate_decode(data: bytes) -> bytes:
@@ -161,6 +160,8 @@ DECODERS: dict[str, Callable[[bytes], bytes]] = {
     "DCTDecode": bytes,
     "DCT": bytes,
     "JPXDecode": bytes,
+    "CCITTFaxDecode": fax_decode,
+    "CCF": fax_decode,
 }
 ENCODERS: dict[str, Callable[[bytes], bytes]] = {
     "FlateDecode": zlib.compress,
@@ -179,6 +180,9 @@ def decode(data: bytes, filters: Sequence[str], params: Sequence[Mapping[str, in
         own = (params[i] if i < len(params) else None) or {}
         if name in ("LZWDecode", "LZW"):
             data = lzw_decode(data, int(own.get("EarlyChange", 1)))
+        elif name in ("CCITTFaxDecode", "CCF"):
+            data = fax_decode(data, own)
+            continue
         else:
             data = DECODERS[name](data)
         data = undo_predictor(data, int(own.get("Predictor", 1)), int(own.get("Columns", 1)), int(own.get("Colors", 1)), int(own.get("BitsPerComponent", 8)))

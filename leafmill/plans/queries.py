@@ -7,10 +7,11 @@ objects, pages and resources.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions import scalar
+from leafmill.functions import fax, scalar
 from leafmill.operators import bitmap, documents, render
 
 QUERIES: dict = {}
@@ -238,3 +239,16 @@ def render_cells(spark, sf_dir):
     expected = cells.groupBy("doc_id").agg(F.count("*").alias("n_cells"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "|").alias("want"))
     joined = expected.join(texts, "doc_id")
     return joined.select(F.col("doc_id").alias("conv_id"), "n_cells", (F.regexp_replace("text", r"\s+", "|") == F.col("want")).alias("found"))
+
+
+@query("SELECT c_custkey, i::BIGINT AS line, md5(c_name || '-' || i) AS bits FROM customer, range(4) t(i)")
+def fax_lines(spark, sf_dir):
+    """Bitmaps of four lines, as group 4 and then read again line by line."""
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.unhex(F.md5(F.concat("c_name", F.lit("-"), i.cast("string")))))
+
+    @F.pandas_udf("binary")
+    def coded(bitmaps: pd.Series) -> pd.Series:
+        return bitmaps.map(lambda rows: fax.fax_encode((bitmap.unpack_line(r, 128) for r in rows), {"Columns": 128}))
+
+    streams = _table(spark, sf_dir, "customer").select("c_custkey", coded(drawn).alias("data"), F.create_map(F.lit("Columns"), F.lit(128)).alias("params"))
+    return bitmap.fax_lines(streams).withColumn("bits", F.lower(F.hex("bits")))
