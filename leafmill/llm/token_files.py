@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -19,30 +21,63 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 
 
-class LibraryEncoder(dict):
+class LibraryEncoder:
     """Runs without white space and their ids, as the tokenizers library encodes them.
 
-    No token of the vocabulary crosses white space, so a text's ids are its runs' ids in a row.
-    A full table becomes the older one, from which runs still in use come back unencoded.
+    No token of the vocabulary crosses white space, so a text's ids are its runs' ids in a row; nor
+    does one hold both letters and the punctuation behind them, so a run of both is encoded as two.
+    The vocabulary is a lower-case one: a text of Latin-1 characters, where a character's lower case
+    depends on nothing else, is lowered at once, unless it may hold a special token. A full table
+    becomes the older one, from which runs still in use come back unencoded.
     """
 
     def __init__(self, path: str):
-        self.model, self.older = library(path), {}
+        self.model, self.known, self.older = library(path), {}, {}
+
+    @staticmethod
+    def lowered(text: str) -> tuple[str, bool]:
+        """The text, in lower case where that changes no id, and whether it is so."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text, False
+        return (text, False) if "<|" in text else (text.lower(), True)
+
+    def learn(self, runs: set[str], plain: bool) -> None:
+        known, older = self.known, self.older
+        unseen, made = set(), []
+        for run in runs:
+            if (ids := older.get(run)) is not None:
+                known[run] = ids
+                continue
+            word = run.rstrip(punctuation) if plain else run
+            parts = (word, run[len(word) :]) if len(word) < len(run) and word.isalpha() else (run,)
+            if len(parts) == 2:
+                made.append((run, *parts))
+            for part in parts:
+                if part not in known and part not in unseen:
+                    if (ids := older.get(part)) is not None:
+                        known[part] = ids
+                    else:
+                        unseen.add(part)
+        encoded = self.model.encode_batch_fast(list(unseen), add_special_tokens=False)
+        for part, e in zip(unseen, encoded, strict=True):
+            known[part] = array("I", e.ids).tobytes()
+        for run, word, tail in made:
+            known[run] = known[word] + known[tail]
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        if len(self) > CACHE_WORDS:
-            self.older = dict(self)
-            self.clear()
-        split = [chunks_of(t) for t in texts]
-        unseen = []
-        for chunk in set().union(*split) - self.keys():
-            if (ids := self.older.get(chunk)) is None:
-                unseen.append(chunk)
-            else:
-                self[chunk] = ids
-        for chunk, e in zip(unseen, self.model.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-            self[chunk] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, chunks)) + end for chunks in split]
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        ready = [self.lowered(t) for t in texts]
+        split = [chunks_of(t) for t, _ in ready]
+        for plain in (True, False):
+            runs = set().union(*[c for c, (_, low) in zip(split, ready, strict=True) if low == plain])
+            # Not by the difference of key views, which walks over the whole table.
+            self.learn(runs.difference(self.known), plain)
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, chunks)) + end for chunks in split]
 
 
 @lru_cache(maxsize=1)

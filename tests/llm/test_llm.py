@@ -131,6 +131,21 @@ def test_token_files_round_trip(spark, odd, encoding):
     assert "tokens#" not in "".join(re.findall(r"ReadSchema: (.*)", plan)).replace("n_tokens", "")
 
 
+def test_library_encoder_equals_the_library_on_odd_runs():
+    texts = ["É'S ITALL's ab's. 'S <|ENDOFTEXT|> <|endoftext|>x", "µß ÿŸ İI ſ K", "a_b__ a'... x''s 12,3. ª.º ½a ²", "'re're 're. don't! 'tis", "\x1cq\x1fr \x85u\xa0v", "ΑΣ ΑΣ. é!", "a\x00b. \xad-x\xad.", "x" * 5000 + "!!", ""]
+    rng = random.Random(8)
+    texts += ["".join(rng.choice("aBé'.,!_ 1\nΣ<|>") for _ in range(40)) for _ in range(2000)]
+    encoder = token_files.LibraryEncoder(queries.vocabulary_path())
+    full = token_files.CACHE_WORDS
+    token_files.CACHE_WORDS = 500
+    try:
+        got = [x for i in range(0, len(texts), 64) for x in encoder.encode(texts[i : i + 64], b"")]
+    finally:
+        token_files.CACHE_WORDS = full
+    assert encoder.older
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in encoder.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_token_files_of_nothing(spark, empty):
     files = token_files.write_tokens(token_files.encode_in_order(empty, queries.vocabulary_path(), 2))
     assert token_files.token_digests(token_files.read_tokens(spark, files)).count() == 0
