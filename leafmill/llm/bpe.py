@@ -218,7 +218,8 @@ class Encoder(dict):
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         split = [chunks_of(t) for t in texts]
-        self.learn(set().union(*split) - self.keys())
+        # Not by the difference of key views, which walks over the whole table.
+        self.learn({c for c in set().union(*split) if c not in self})
         return [b"".join(map(self.__getitem__, chunks)) for chunks in split]
 
     def decode(self, ids: bytes) -> bytes:
