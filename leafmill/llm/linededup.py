@@ -1,4 +1,4 @@
-"""Line dedup by pairwise alignment: shared line hashes, patience diff, blocks cut from the later document (operator 8)."""
+"""Line dedup: hashes of shared runs of lines, blocks cut from the later document (operator 8)."""
 
 from __future__ import annotations
 
@@ -27,19 +27,41 @@ def lines_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LINE), 0)
 
 
-def units_of(text: str, alone: int = BLOCK_WORDS) -> list[tuple[int, int, int, int]]:
-    """(line number, words, words of the next line or 0, hash): what is looked up in other documents.
+def units_of(text: str, least: int = BLOCK_WORDS) -> list[tuple[int, int, int]]:
+    """(line number, lines, hash): the runs of lines that are looked up in other documents.
 
-    That is a line with its successor, so that a common line in a rare place is found with its
-    neighbours; and by itself a line that makes a block alone. White space and case do not count.
+    Those are the shortest runs of ``least`` words or more from each line on and up to each line.
+    Together they cover every line of any longer run, so a block that two documents share is found
+    whole, whoever holds parts of it. White space and case do not count. Runs of three and more
+    equal lines are left out: one short line again and again is no passage.
     """
     split = [x.lower().encode("utf-8", "surrogatepass").split() for x in _LINE.findall(text)]
-    lines, out = [b" ".join(x) for x in split], []
-    for i, (words, line) in enumerate(zip(split, lines, strict=True)):
-        if i + 1 < len(lines):
-            out.append((i, len(words), len(split[i + 1]), xxhash.xxh3_64_intdigest(line + b"\n" + lines[i + 1])))
-        if len(words) >= alone:
-            out.append((i, len(words), 0, xxhash.xxh3_64_intdigest(line + b"\n")))
+    lines, sizes, out = [b" ".join(x) for x in split], [len(x) for x in split], []
+    since = list(range(len(lines)))  # the first of the equal lines that end here
+    for i in range(1, len(lines)):
+        if lines[i] == lines[i - 1]:
+            since[i] = since[i - 1]
+    runs: set[tuple[int, int]] = set()
+    end = total = 0
+    for i, size in enumerate(sizes):
+        while total < least and end < len(lines):
+            total += sizes[end]
+            end += 1
+        if total < least:
+            break
+        runs.add((i, end))
+        total -= size
+    start = total = 0
+    for end, size in enumerate(sizes, 1):
+        total += size
+        while total - sizes[start] >= least:
+            total -= sizes[start]
+            start += 1
+        if total >= least:
+            runs.add((start, end))
+    for i, end in sorted(runs):
+        if end - i < 3 or since[end - 1] > i:
+            out.append((i, end - i, xxhash.xxh3_64_intdigest(b"\n".join(lines[i:end]))))
     return out
 
 
@@ -125,11 +147,10 @@ def _align(left: list[tuple[int, int, int]], least: int) -> list[tuple[int, int]
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(key, cut): for documents with a block to delete, the numbers of its lines.
 
-    Documents are in the order of doc_id (null first), then of their key. A partner is the
-    first document that holds a line and its successor, which makes a star of pairs however many documents share it; a
-    line needs no cap and no list of all its documents. Each document aligns with each partner.
-    Of a line that the partner repeats only the first place is known, so a block of one line again
-    and again is not found; whole copies of such texts are left to near-duplicate removal.
+    Documents are in the order of doc_id (null first), then of their key. A run of lines is known by
+    the first document that holds it, and goes from all others, so a line needs no cap and no list
+    of all its documents. What goes from a document is what alignments with each earlier one would
+    give together, moved and repeated blocks included.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), text_or_empty(text).alias("text"))
@@ -138,56 +159,20 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for batch in batches:
             found = [units_of(t, block_words) for t in batch.column("text").to_pylist()]
             of = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            at, words, following, h = (np.array(x) for x in zip(*(u for x in found for u in x), strict=True)) if len(of) else [np.empty(0, int)] * 4
+            at, n, h = (np.array(x) for x in zip(*(u for x in found for u in x), strict=True)) if len(of) else [np.empty(0, int)] * 3
             kept = [batch.column(k).take(pa.array(of)) for k in ("id", "key")]
-            made = [pa.array(x.astype(np.int32)) for x in (at, words, following)]
-            yield pa.RecordBatch.from_arrays([*kept, *made, pa.array(h.astype(np.uint64).view(np.int64))], ["id", "key", "at", "words", "next", "h"])
+            made = [pa.array(x.astype(np.int32)) for x in (at, n)]
+            yield pa.RecordBatch.from_arrays([*kept, *made, pa.array(h.astype(np.uint64).view(np.int64))], ["id", "key", "at", "n", "h"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = materialize(texts.mapInArrow(split, f"id {kind}, key long, at int, words int, next int, h long"), "lines")
-    doc = F.struct("id", "key")
-    first = rows.groupBy("h").agg(F.min(F.struct("id", "key", "at")).alias("first"), F.max(doc).alias("last"))
-    first = first.where("first.key <> last.key")
+    rows = materialize(texts.mapInArrow(split, f"id {kind}, key long, at int, n int, h long"), "lines")
+    first = rows.groupBy("h").agg(F.min(F.struct("id", "key")).alias("first"), F.count("*").alias("times")).where("times > 1")
     # Written, so that both sides of the join are plain exchanges and a hot line's can be split.
-    shared = materialize(first.select("h", F.col("first.key").alias("partner"), F.col("first.at").alias("there")), "shared-lines")
-    matched = rows.join(shared, "h").where("partner <> key")
-    slim = matched.select("key", "partner", "at", "there", "words", "next")
-    slim = slim.repartition("key").sortWithinPartitions("key")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-
-    def run(batches):
-        held = None
-
-        def cuts(rows: list[np.ndarray]) -> pa.RecordBatch:
-            both = rows[5] > 0
-            ends = [rows[0][both], rows[1][both], rows[2][both] + 1, rows[3][both] + 1, rows[5][both]]
-            key, partner, at, there, words = (np.concatenate(x) for x in zip(rows[:5], ends, strict=True))
-            order = np.lexsort((at, at - there, partner, key))
-            key, partner, at, there, words = (x[order] for x in (key, partner, at, there, words))
-            once = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(partner) != 0) | (np.diff(at) != 0) | (np.diff(there) != 0)])
-            key, partner, at, there, words = (x[once] for x in (key, partner, at, there, words))
-            keep = np.flatnonzero(_long_runs([key, partner], at, there, words, block_words))
-            groups: dict[tuple[int, int], list] = {}
-            for k, f, a, b, w in zip(*(x[keep].tolist() for x in (key, partner, at, there, words)), strict=True):
-                groups.setdefault((k, f), []).append((a, b, w))
-            found: dict[int, set[int]] = {}
-            for (k, _), pairs in groups.items():
-                for a, b in _align(sorted(pairs), block_words):
-                    found.setdefault(k, set()).update(range(a, b + 1))
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([sorted(x) for x in found.values()], pa.list_(pa.int32()))], ["key", "cut"])
-
-        for batch in batches:
-            rows = [c.to_numpy() for c in batch.columns]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-            held = [x[last:] for x in rows]
-            if last:
-                yield cuts([x[:last] for x in rows])
-        if held is not None and len(held[0]):
-            yield cuts(held)
-
-    return slim.mapInArrow(run, "key long, cut array<int>")
+    shared = materialize(first.select("h", F.col("first.key").alias("holder")), "shared-lines")
+    matched = rows.join(shared, "h").where("holder <> key")
+    runs = matched.groupBy("key").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    lines = F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1)))
+    return runs.select("key", F.array_sort(F.array_distinct(lines)).alias("cut"))
 
 
 def delete_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS, counts: bool = False) -> DataFrame:

@@ -418,6 +418,31 @@ def test_passages_go_from_later_documents(spark, odd):
     assert [r.text for r in rows if r.doc_id == 1] == ["The quick brown fox. " * 30]
 
 
+def test_blocks_are_found_whoever_holds_their_parts(spark):
+    """A block of eight lines whose pairs earlier documents hold, and random texts of few lines against all pairs of documents."""
+    line = lambda i: " ".join(f"w{i}x{k}" for k in range(7)) + "\n"
+    block = [line(i) for i in range(8)]
+    rows = [(n, "".join([line(100 + n), *block[a : a + 2], line(200 + n)])) for n, a in enumerate((0, 2, 3, 5, 6))]
+    rows += [(10, "".join([line(300), *block])), (11, "".join([*block, line(400)]))]
+    out = {r.doc_id: r for r in linededup.delete_repeats(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
+    assert [out[n].n_cut for n in (0, 1, 2, 3, 4, 10, 11)] == [0, 0, 0, 0, 0, 0, 8]
+    assert out[11].text == line(400).strip()
+    rng = random.Random(9)
+    words = [rng.choice((3, 5, 8, 12, 21)) for _ in range(12)]
+    make = lambda i: " ".join(f"v{i}x{k}" for k in range(words[i])) + "\n"
+    plans = [[rng.randrange(12) for _ in range(14)] for _ in range(25)]
+    plans = [[x for i, x in enumerate(p) if not i or x != p[i - 1]] for p in plans]
+    rows = [(n, "".join(map(make, p))) for n, p in enumerate(plans)]
+    got = {r.doc_id: r.n_cut for r in linededup.delete_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), counts=True).collect()}
+    for n, p in enumerate(plans):
+        cut = set()
+        for q in plans[:n]:
+            pairs = [(i, j, words[x]) for i, x in enumerate(p) for j, y in enumerate(q) if x == y]
+            for a, b in linededup.common_blocks(*([x[k] for x in pairs] for k in range(3))):
+                cut.update(range(a, b + 1))
+        assert got[n] == len(cut)
+
+
 # 9: pages ------------------------------------------------------------------------------------------
 
 
