@@ -12,10 +12,13 @@ from leafmill.llm.queries import vocabulary_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the likelihood ratio reject go."""
-    ratios = quality_rules.fit_ratio(docs, table(spark, sf_dir, "labels").where("quality = 1"))
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    ratios = quality_rules.fit_ratio(docs, trusted)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    scored = quality_rules.score_rules(docs.select(row, F.col("text").alias("text")), ratios)
-    return scored.where("kept").select("row.*")
+    scored = quality_rules.score_rules(docs.select(row, "doc_id", "text"), ratios, lowest=float("-inf"))
+    # Written without what the base rules reject, so that texts are scored once.
+    scored = materialize(scored.where("kept").select("row", "doc_id", "base_failed", "mean_ratio"), "scored")
+    return quality_rules.judge(scored, quality_rules.fit_lowest(scored, trusted)).where("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

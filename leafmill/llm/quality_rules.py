@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import WORD_BREAK, text_or_empty
 
-#: Buckets of the two multinomials, smoothing in tokens a bucket, and the lowest accepted mean ratio.
+#: Buckets of the two multinomials, smoothing in tokens a bucket, and the lowest accepted mean ratio where no
+#: trusted document tells it.
 BUCKETS, SMOOTHING, LOWEST_MEAN = 8192, 1.0, -0.15
+#: Share of the trusted documents that may lie below the fitted lowest mean before its margin is taken off, and
+#: the steps in a unit in which means are counted.
+LOST_SHARE, MARGIN, STEPS = 0.001, 0.01, 1000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -116,3 +120,26 @@ def score_rules(docs: DataFrame, ratios: list[float], text: str = "text", lowest
     # the functions over their elements. A column that is not deterministic stops that.
     verdict = (c("mean_ratio") >= lowest) & (c("__m") >= 0)
     return e.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict).drop("__m")
+
+
+def fit_lowest(scored: DataFrame, trusted: DataFrame, doc_id: str = "doc_id") -> float:
+    """The lowest mean ratio to accept: a low quantile of the trusted documents that pass the base rules, less a margin.
+
+    Counted in steps, so that it is the same in every run and few rows reach the driver. ``scored`` is
+    the result of ``score_rules``, written before. Without trusted documents it is ``LOWEST_MEAN``.
+    """
+    ids = trusted.select(F.col(doc_id).alias("__id")).distinct()
+    rows = scored.where("not base_failed").select(F.col(doc_id).alias("__doc"), F.floor(F.col("mean_ratio") * STEPS).alias("step"))
+    rows = rows.join(ids.hint("merge"), F.col("__doc") == F.col("__id")).groupBy("step").agg(F.count("*").alias("n"))
+    counts = sorted((r.step, r.n) for r in rows.collect())
+    left = int(LOST_SHARE * sum(n for _, n in counts))
+    for step, n in counts:
+        if left < n:
+            return step / STEPS - MARGIN
+        left -= n
+    return LOWEST_MEAN
+
+
+def judge(scored: DataFrame, lowest: float) -> DataFrame:
+    """``scored`` with kept by another lowest mean."""
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("mean_ratio") >= lowest))

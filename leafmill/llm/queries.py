@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import bpe, cnn, decontam, html_extract, linededup, maxent, quality_rules, sharding, simhash, token_files
-from leafmill.llm.common import table
+from leafmill.llm.common import materialize, table
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -39,8 +39,9 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ratios = quality_rules.fit_ratio(docs, table(spark, sf_dir, "labels").where("quality = 1"))
-    return quality_rules.score_rules(docs, ratios).drop("text")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    scored = materialize(quality_rules.score_rules(docs, quality_rules.fit_ratio(docs, trusted)).drop("text"), "scored")
+    return quality_rules.judge(scored, quality_rules.fit_lowest(scored, trusted))
 
 
 def op5_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

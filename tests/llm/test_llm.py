@@ -202,6 +202,24 @@ def test_ratios_are_the_two_multinomials(spark):
     assert quality_rules.fit_ratio(raw, trusted.where("doc_id = 5")) == [0.0] * n
 
 
+def test_lowest_mean_comes_from_the_trusted_documents(spark):
+    rows = [(i, False, 0.02 - i / 100_000) for i in range(3000)] + [(5000, True, -0.9), (5001, False, -0.06), (5002, False, None)]
+    scored = spark.createDataFrame(rows, "doc_id long, base_failed boolean, mean_ratio double")
+    trusted = spark.createDataFrame([(i,) for i in range(3000)] + [(5000,), (1,), (None,)], "doc_id long")
+    lowest = quality_rules.fit_lowest(scored, trusted)
+    assert lowest == pytest.approx(-0.02, abs=0.0011)
+    assert quality_rules.judge(scored, lowest).where("kept and doc_id >= 5000").count() == 0
+    assert quality_rules.fit_lowest(scored, trusted.limit(0)) == quality_rules.LOWEST_MEAN
+
+
+def test_op4_rejects_what_the_labels_reject(spark):
+    labels = spark.read.parquet(f"{SF}/../sf0.01/labels.parquet")
+    got = queries.op4_quality_rules(spark, f"{SF}/../sf0.01").where("not base_failed").join(labels, "doc_id")
+    n = {(r.quality, r.kept): r["count"] for r in got.groupBy("quality", "kept").count().collect()}
+    assert n.get((0, True), 0) <= 0.05 * (n.get((0, True), 0) + n.get((0, False), 0))
+    assert n.get((1, False), 0) <= 0.01 * n[1, True]
+
+
 # 5: decontamination --------------------------------------------------------------------------------
 
 
