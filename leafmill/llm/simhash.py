@@ -165,6 +165,18 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
+def rooted(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, key, fp, root, component_id), one row for each row of ``docs``: root is a fingerprint that names the component."""
+    prints = materialize(fingerprints(docs, doc_id, text), "simhash")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fingerprints")
+    roots = components(materialize(links(distinct.select("fp"), radius), "links"))
+    labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+    smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    merged = labelled.join(smallest.where("n > 1"), "root", "left")
+    named = merged.select("fp", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return prints.join(named, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, key, fingerprint, component_id), one row for each row of ``docs``.
 
@@ -173,24 +185,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
     the radius. Repeated rows stay. A null doc_id is larger than none: it is never a component's id
     unless the component has no other. ``key`` tells apart rows with one doc_id and different texts.
     """
-    prints = materialize(fingerprints(docs, doc_id, text), "simhash")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fingerprints")
-    roots = components(materialize(links(distinct.select("fp"), radius), "links"))
-    labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
-    merged = labelled.join(smallest.where("n > 1"), "root", "left")
-    named = merged.select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = prints.join(named, "fp")
+    out = rooted(docs, radius, doc_id, text)
     return out.select("doc_id", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row of the smallest doc_id stays.
 
-    All columns are kept. Of rows that share the smallest id, or are repeated, one stays.
+    All columns are kept. Of rows that share the smallest id, or are repeated, one stays. Components
+    are told apart by their fingerprints, so null and repeated ids join none that are not linked.
     """
-    found = near_duplicates(docs, radius, doc_id, text)
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("b"))
+    found = rooted(docs, radius, doc_id, text)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("b"))
     keys = best.select(F.col("b.key").alias("__keep")).distinct()
     rows = docs.withColumn("__key", F.xxhash64(F.col(doc_id), F.col(text)))
     kept = rows.join(keys, rows["__key"] == keys["__keep"], "left_semi")

@@ -321,6 +321,15 @@ def test_near_duplicates_equal_brute_force(request, which):
     assert kept.count() == len(set(want.values()))
 
 
+def test_unrelated_documents_stay_whatever_their_ids(spark):
+    rng = random.Random(12)
+    clean = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(40)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in enumerate(clean)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, clean[1]), (8, clean[2])], "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted(rows, key=str)
+
+
 def test_hot_shards_lose_no_link(spark):
     rng = random.Random(2)
     base, fps = rng.getrandbits(64), set()
