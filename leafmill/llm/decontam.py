@@ -17,10 +17,13 @@ from leafmill.llm.common import small_batches, text_or_empty
 
 #: An item leaks if a window of its number of words is within this share of word edits.
 EDIT_SHARE = 0.2
-#: Independent walks and output positions sampled in each: P(found) = 1 - (1 - p^SAMPLES)^WALKS,
-#: where p is the share of equal output positions. At p = 0.55, which a window at the edit limit
-#: keeps on average, 99 %; copies with few edits are found all but surely.
+#: Independent walks and output positions sampled in each: P(found) = 1 - (1 - p^samples)^walks, where p is
+#: the share of equal output positions. In simulations of windows at the edit limit (substitutions, insertions
+#: and deletions) p is 0.54 for 15 words, 0.40 for 59, 0.33 for 100, 0.25 for 200, 0.19 for 400 and 0.14 for 800.
+#: The samples and walks of each size keep P(found) at 99 % there (38 walks needed for 100 words, 58 for 200,
+#: 206 for 800); the sizes above are by the same line. Copies with few edits are found all but surely.
 WALKS, SAMPLES = 24, 3
+SHORT, MEDIUM = 16, 60
 #: Items broadcast at once, and their bytes; a larger benchmark is searched block by block.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 
@@ -51,12 +54,20 @@ def edit_distance(a: list, b: list, most: int) -> int:
     return min(row[len(b)], most + 1)
 
 
-def _mix(x: np.ndarray, salt: int) -> np.ndarray:
-    x = (x.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+def _mix(x: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
+    x = (x.astype(np.uint64) + np.asarray(salt).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
 
 
+def samples_of(n: int) -> int:
+    return SAMPLES if n < SHORT else SAMPLES - 1
+
+
+def walks_of(n: int) -> int:
+    return WALKS if n < MEDIUM else 16 + n // 4
+
+
 class Index:
     """The items of one block: their words, a filter on word pairs, and tables of sampled embeddings."""
 
@@ -64,6 +75,7 @@ class Index:
         self.items = [(i, w) for i, t in items if (w := words_of(t or ""))]
         self.vocab: dict[bytes, int] = {}
         self.ids = [np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int64) for _, w in self.items]
+        self.sets = [frozenset(ids.tolist()) for ids in self.ids]
         by_size: dict[int, list[int]] = defaultdict(list)
         for at, ids in enumerate(self.ids):
             by_size[len(ids)].append(at)
@@ -75,12 +87,13 @@ class Index:
                 self.pairs[self._pair(ids[:-1], ids[1:])] |= np.uint64(1 << at % 64)
         rng = np.random.default_rng(20_240_601)
         # Of each walk: whether a word moves the pointer at a step, 64 steps in a number for each word.
-        longest = 2 * max(self.sizes, default=1)
-        self.moves = np.array([[_mix(np.arange(len(self.vocab) + 1), 1_000_003 * (w + 1) + 7919 * k) for w in range(WALKS)] for k in range(longest // 64 + 1)])
-        self.spots = {n: np.zeros((2 * n, WALKS), bool) for n in self.sizes}
+        # Larger items' walks are many, so they hash words as they go.
+        longest = 2 * max((n for n in self.sizes if n < MEDIUM), default=1)
+        self.moves = np.array([[_mix(np.arange(len(self.vocab) + 1), self._salt(w, k)) for w in range(WALKS)] for k in range(longest // 64 + 1)])
+        self.spots = {n: np.zeros((2 * n, walks_of(n)), bool) for n in self.sizes}
         for n, spots in self.spots.items():
-            for w in range(WALKS):
-                spots[rng.choice(2 * n, min(SAMPLES, 2 * n), replace=False), w] = True
+            for w in range(walks_of(n)):
+                spots[rng.choice(2 * n, min(samples_of(n), 2 * n), replace=False), w] = True
         self.tables: dict[tuple[int, int], dict[int, list[int]]] = {}
         for n, places in by_size.items():
             for w, keys in enumerate(self.embed(np.array([self.ids[at] for at in places]))):
@@ -88,6 +101,10 @@ class Index:
                 for at, key in zip(places, keys.tolist(), strict=True):
                     table.setdefault(key, []).append(at)
 
+    @staticmethod
+    def _salt(walk, block):
+        return 1_000_003 * (walk + 1) + 7919 * block
+
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return ((a * 0x9E3779B1 + b * 0x85EBCA6B) >> 7) & ((1 << _FILTER_BITS) - 1)
@@ -99,14 +116,16 @@ class Index:
         function of the step and the word says; so two strings fall back into step after an edit.
         """
         rows, n = windows.shape
+        walks = walks_of(n)
         padded = np.concatenate([windows, np.zeros((rows, 1), np.int64)], axis=1)
-        line, walk = np.arange(rows)[None, :], np.arange(WALKS)[:, None]
-        pointer, key = np.zeros((WALKS, rows), np.int64), np.zeros((WALKS, rows), np.uint64)
+        line, walk = np.arange(rows)[None, :], np.arange(walks)[:, None]
+        pointer, key = np.zeros((walks, rows), np.int64), np.zeros((walks, rows), np.uint64)
         for step, spots in enumerate(self.spots[n]):
             here = padded[line, pointer]
             if spots.any():
                 key[spots] = _mix(key[spots] * np.uint64(31) + here[spots].astype(np.uint64), step)
-            pointer += ((self.moves[step >> 6][walk, here] >> np.uint64(step & 63)) & np.uint64(1)).astype(np.int64)
+            moves = self.moves[step >> 6][walk, here] if n < MEDIUM else _mix(here, self._salt(walk, step >> 6))
+            pointer += ((moves >> np.uint64(step & 63)) & np.uint64(1)).astype(np.int64)
             np.minimum(pointer, n, out=pointer)
         return key
 
@@ -167,7 +186,10 @@ class Index:
             limit, seen = int(EDIT_SHARE * n), best[text].get(item)
             if start >= end or (seen and seen[0] == 0):
                 continue
-            d = edit_distance(self.ids[item].tolist(), ids[start : min(end, start + n)].tolist(), limit)
+            window = ids[start : min(end, start + n)].tolist()
+            if len(self.sets[item].difference(window)) > limit:  # each missing word costs an edit
+                continue
+            d = edit_distance(self.ids[item].tolist(), window, limit)
             if d <= limit and (seen is None or (d, start - starts[text]) < seen):
                 best[text][item] = (d, start - starts[text])
         return [[{"item_id": self.items[i][0], "start_word": s, "n_words": len(self.ids[i]), "edits": d} for i, (d, s) in sorted(b.items())] for b in best]

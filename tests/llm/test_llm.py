@@ -261,6 +261,21 @@ def test_leaks_reach_recall_and_clean_texts_stay(spark):
     assert kept == {i for i in range(240)} - {i for i, _ in found}
 
 
+@pytest.mark.parametrize("n", [20, 59, 100, 200])
+def test_recall_at_the_edit_limit(n):
+    rng = random.Random(n)
+    items = [[f"w{rng.randrange(3000)}" for _ in range(n)] for _ in range(100)]
+    texts = []
+    for item in items:
+        copy = [*item]
+        for at in rng.sample(range(n), int(decontam.EDIT_SHARE * n)):
+            copy[at] = f"w{rng.randrange(3000)}"
+        texts.append(" ".join([*(f"w{rng.randrange(3000)}" for _ in range(30)), *copy, *(f"w{rng.randrange(3000)}" for _ in range(30))]))
+    found = decontam.Index([(i, " ".join(w)) for i, w in enumerate(items)]).matches(texts)
+    assert sum(i in [m["item_id"] for m in f] for i, f in enumerate(found)) >= 96
+    assert all(m["item_id"] == i for i, f in enumerate(found) for m in f)
+
+
 def test_leaks_edge_cases(spark, odd, empty):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, "the quick brown fox"), (None, "word"), (5, "the quick brown fox")], "item_id long, text string")
     rows = decontam.find_leaks(odd, bench, into="score").collect()
