@@ -23,7 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Never more than ``BATCH_ROWS`` rows to a batch; a smaller setting stays, so the order of calls does not matter."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def rebatched(batches, rows: int = BATCH_ROWS):
+    """The same rows in batches of at most ``rows``, whatever the session's setting is when the plan runs."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,4 +1,4 @@
-"""Line dedup: hashes of shared runs of lines, blocks cut from the later document (operator 8)."""
+"""Line dedup: shared rare line hashes, patience alignment, blocks cut from the later document (operator 8)."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from leafmill.llm.common import materialize, small_batches, text_or_empty
+from leafmill.llm.common import materialize, rebatched, small_batches, text_or_empty
 
 #: Blocks of fewer words than this stay; a line of as many is a block by itself.
 BLOCK_WORDS = 20
@@ -27,20 +28,15 @@ def lines_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LINE), 0)
 
 
-def units_of(text: str, least: int = BLOCK_WORDS) -> list[tuple[int, int, int]]:
-    """(line number, lines, hash): the runs of lines that are looked up in other documents.
+def units_of(text: str, least: int = BLOCK_WORDS) -> list[tuple[int, int, list[int]]]:
+    """(hash, lines, places): the different rare line hashes of a text and the line numbers where each begins.
 
-    Those are the shortest runs of ``least`` words or more from each line on and up to each line.
-    Together they cover every line of any longer run, so a block that two documents share is found
-    whole, whoever holds parts of it. White space and case do not count. Runs of three and more
-    equal lines are left out: one short line again and again is no passage.
+    Single lines recur by chance; a rare hash is that of a shortest run of ``least`` words or more from a
+    line on or up to one. Together they cover every line of any longer run, so a block that two
+    documents share shows in its hashes, whoever holds parts of it. White space and case do not count.
     """
     split = [x.lower().encode("utf-8", "surrogatepass").split() for x in _LINE.findall(text)]
-    lines, sizes, out = [b" ".join(x) for x in split], [len(x) for x in split], []
-    since = list(range(len(lines)))  # the first of the equal lines that end here
-    for i in range(1, len(lines)):
-        if lines[i] == lines[i - 1]:
-            since[i] = since[i - 1]
+    lines, sizes = [b" ".join(x) for x in split], [len(x) for x in split]
     runs: set[tuple[int, int]] = set()
     end = total = 0
     for i, size in enumerate(sizes):
@@ -59,14 +55,14 @@ def units_of(text: str, least: int = BLOCK_WORDS) -> list[tuple[int, int, int]]:
             start += 1
         if total >= least:
             runs.add((start, end))
+    places: dict[tuple[int, int], list[int]] = {}
     for i, end in sorted(runs):
-        if end - i < 3 or since[end - 1] > i:
-            out.append((i, end - i, xxhash.xxh3_64_intdigest(b"\n".join(lines[i:end]))))
-    return out
+        places.setdefault((xxhash.xxh3_64_intdigest(b"\n".join(lines[i:end])), end - i), []).append(i)
+    return [(h, n, at) for (h, n), at in places.items()]
 
 
-def _aligned(q: list[int]) -> list[int]:
-    """Patience: the indexes of a longest ascending run of ``q``."""
+def _ascending(q: list[int]) -> list[int]:
+    """Patience: the indexes of a longest strictly ascending part of ``q``."""
     piles: list[int] = []
     tops: list[int] = []
     back = [-1] * len(q)
@@ -85,112 +81,128 @@ def _aligned(q: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _long_runs(group: list[np.ndarray], p: np.ndarray, q: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
-    """Of rows sorted by group, p - q and p, those in runs in step on both sides of ``least`` words or more."""
-    if not len(p):
-        return np.empty(0, bool)
-    new = (np.diff(p - q) != 0) | (np.diff(p) != 1)
-    for g in group:
-        new |= np.diff(g) != 0
-    run = np.concatenate([[0], np.cumsum(new)])
-    return (np.bincount(run, words) >= least)[run]
-
-
-def common_blocks(p, q, words, least: int = BLOCK_WORDS) -> list[tuple[int, int]]:
-    """[first, last] places of the later document in blocks that it shares with one earlier document.
+def common_blocks(p, q, words, least: int = BLOCK_WORDS) -> list[tuple[int, int, int, bool]]:
+    """(first, last, there, moved) of the blocks that a document shares with an earlier one, in the order of its lines.
 
-    Row i says that line p[i] of the later document equals line q[i] of the earlier one (its first
-    such line). Only runs in step in both with ``least`` words or more can become blocks. Lines that
-    occur once on either side anchor the alignment; what it leaves over is aligned again, so that
-    moved and repeated blocks are found as well.
+    Row i says that line p[i] of the later document equals line q[i] of the earlier one. Rows in step on
+    both sides are a block if they have ``least`` words or more. Lines that stand in one row alone are
+    the anchors; a longest ascending row of them aligns the two texts, and blocks without such an anchor
+    are moved or repeated ones. The time is that of sorting the rows.
     """
-    p, q, words = np.asarray(p), np.asarray(q), np.asarray(words)
+    p, q, words = np.asarray(p, np.int64), np.asarray(q, np.int64), np.asarray(words)
     order = np.lexsort((p, p - q))
     p, q, words = p[order], q[order], words[order]
-    keep = _long_runs([], p, q, words, least)
-    return _align(sorted(zip(p[keep].tolist(), q[keep].tolist(), words[keep].tolist(), strict=True)), least)
-
-
-def _align(left: list[tuple[int, int, int]], least: int) -> list[tuple[int, int]]:
-    blocks: list[tuple[int, int]] = []
-    pairs = {(a, b): w for a, b, w in left}
-    while left:
-        times: dict[int, int] = {}
-        for _, b, _ in left:
-            times[b] = times.get(b, 0) + 1
-        anchors = [(a, b) for a, b, _ in left if times[b] == 1]
-        if not anchors:
-            seen: set[int] = set()
-            anchors = [(a, b) for a, b, _ in left if b not in seen and not seen.add(b)]
-        lis = [anchors[i] for i in _aligned([b for _, b in anchors])]
-        taken: set[tuple[int, int]] = set()
-        for a, b in lis:  # grow each anchor over equal lines on both sides
-            for step in (1, -1):
-                x, y = (a, b) if step == 1 else (a - 1, b - 1)
-                while (x, y) in pairs and (x, y) not in taken:
-                    taken.add((x, y))
-                    x, y = x + step, y + step
-        line = sorted(taken, key=lambda t: (t[0] - t[1], t[0]))
-        at = 0
-        while at < len(line):
-            end = at
-            while end + 1 < len(line) and line[end + 1] == (line[end][0] + 1, line[end][1] + 1):
-                end += 1
-            if sum(pairs[x] for x in line[at : end + 1]) >= least:
-                blocks.append((line[at][0], line[end][0]))
-            at = end + 1
-        left = [x for x in left if x[:2] not in taken]
-        pairs = {(a, b): w for a, b, w in left}
-    return sorted(set(blocks))
-
-
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(key, cut): for documents with a block to delete, the numbers of its lines.
-
-    Documents are in the order of doc_id (null first), then of their key. A run of lines is known by
-    the first document that holds it, and goes from all others, so a line needs no cap and no list
-    of all its documents. What goes from a document is what alignments with each earlier one would
-    give together, moved and repeated blocks included.
+    block = np.concatenate([np.zeros(min(1, len(p)), int), np.cumsum((np.diff(p - q) != 0) | (np.diff(p) != 1))])
+    kept = (np.bincount(block, words) >= least)[block]
+    p, q, block = p[kept], q[kept], block[kept]
+    if not len(p):
+        return []
+    begins = np.concatenate([[True], np.diff(block) != 0])
+    once = (np.bincount(p)[p] == 1) & (np.bincount(q)[q] == 1)
+    if not once.any():
+        once = begins  # no line stands alone: the blocks' first lines
+    rows = np.flatnonzero(once)
+    rows = rows[np.lexsort((q[rows], p[rows]))]
+    inside = set(block[rows[_ascending(q[rows].tolist())]].tolist())
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(p)) - 1
+    return sorted((int(p[a]), int(p[b]), int(q[a]), int(block[a]) not in inside) for a, b in zip(starts, ends, strict=True))
+
+
+def _line_pairs(shared: list[tuple[list[int], list[int], int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of equal lines in the common runs (places in the later document, in the earlier one, lines).
+
+    A run's k-th place goes with the k-th there, or with the last; where that is out of step with the
+    line before and another place there is not, with that one.
+    """
+    rows, step = [], None
+    for p, there, k, n in sorted((p, there, k, n) for at, there, n in shared for k, p in enumerate(at)):
+        q = there[min(k, len(there) - 1)]
+        if step is not None and p - q != step:
+            near = bisect_left(there, p - step)
+            if near < len(there) and there[near] == p - step:
+                q = p - step
+        step = p - q
+        rows.append((p, q, n))
+    p, q, n = np.array(rows, np.int64).T
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    pairs = np.unique(np.stack([np.repeat(p, n) + inside, np.repeat(q, n) + inside], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def shared_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(id, key, cut, blocks): for documents with a block to delete, whether each of their lines goes, up to the last.
+
+    ``blocks`` has (partner, first, last, there, moved) of each block: the earlier document's id, the line
+    numbers here, the first there, and whether the block is out of the common order. Documents are in
+    the order of doc_id (null first), then of their key. A rare hash is known by the first document that
+    holds it and links all others to that one, so it needs no cap, and no list of all its documents:
+    a group of n documents gives n links. Each document is aligned with every partner.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), text_or_empty(text).alias("text"))
 
     def split(batches):
-        for batch in batches:
+        for batch in rebatched(batches):
             found = [units_of(t, block_words) for t in batch.column("text").to_pylist()]
-            of = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            at, n, h = (np.array(x) for x in zip(*(u for x in found for u in x), strict=True)) if len(of) else [np.empty(0, int)] * 3
-            kept = [batch.column(k).take(pa.array(of)) for k in ("id", "key")]
-            made = [pa.array(x.astype(np.int32)) for x in (at, n)]
-            yield pa.RecordBatch.from_arrays([*kept, *made, pa.array(h.astype(np.uint64).view(np.int64))], ["id", "key", "at", "n", "h"])
+            of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            units = [u for x in found for u in x]
+            h = np.array([u[0] for u in units], np.uint64).view(np.int64)
+            ends = np.cumsum([0, *(len(u[2]) for u in units)])
+            at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([x for u in units for x in u[2]], pa.int32()))
+            made = [pa.array(h), pa.array([u[1] for u in units], pa.int32()), at]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("key").take(of), *made], ["id", "key", "h", "n", "at"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = materialize(texts.mapInArrow(split, f"id {kind}, key long, at int, n int, h long"), "lines")
-    first = rows.groupBy("h").agg(F.min(F.struct("id", "key")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    # Written, so that both sides of the join are plain exchanges and a hot line's can be split.
-    shared = materialize(first.select("h", F.col("first.key").alias("holder")), "shared-lines")
-    matched = rows.join(shared, "h").where("holder <> key")
-    runs = matched.groupBy("key").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
-    lines = F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1)))
-    return runs.select("key", F.array_sort(F.array_distinct(lines)).alias("cut"))
+    rows = materialize(texts.mapInArrow(split, f"id {kind}, key long, h long, n int, at array<int>"), "lines")
+    first = rows.groupBy("h").agg(F.min(F.struct("id", "key", "at")).alias("f"), F.count("*").alias("times")).where("times > 1")
+    # Written, so that both sides of the join are plain exchanges and a hot hash's can be split.
+    holders = materialize(first.select("h", F.col("f.id").alias("partner"), F.col("f.key").alias("pkey"), F.col("f.at").alias("there")), "first-holders")
+    matched = rows.join(holders, "h").where(~(F.col("id").eqNullSafe(F.col("partner")) & (F.col("key") == F.col("pkey"))))
+    # A document's hashes are one row each and repeated rows fall together, so the set is bounded by one text.
+    of = matched.groupBy("id", "key").agg(F.collect_set(F.struct("partner", "pkey", "n", "at", "there")).alias("shared"))
+
+    block = pa.struct([("partner", to_arrow_type(docs.schema[doc_id].dataType)), ("first", pa.int32()), ("last", pa.int32()), ("there", pa.int32()), ("moved", pa.bool_())])
+
+    def align(batches):
+        for batch in rebatched(batches):
+            cuts, found = [], []
+            for shared in batch.column("shared").to_pylist():
+                partners: dict[tuple, list] = {}
+                for s in shared:
+                    partners.setdefault((s["partner"], s["pkey"]), []).append((s["at"], s["there"], s["n"]))
+                blocks = []
+                for (partner, _), runs in sorted(partners.items(), key=lambda x: (x[0][0] is not None, x[0])):
+                    p, q = _line_pairs(runs)
+                    # Each pair lies in a run of enough words, whatever its own line has.
+                    blocks += [(partner, *b) for b in common_blocks(p, q, np.full(len(p), block_words), block_words)]
+                cut = np.zeros(max(b[2] for b in blocks) + 1, bool)
+                for _, a, b, _, _ in blocks:
+                    cut[a : b + 1] = True
+                cuts.append(cut.tolist())
+                found.append([dict(zip(("partner", "first", "last", "there", "moved"), b, strict=True)) for b in blocks])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(cuts, pa.list_(pa.bool_())), pa.array(found, pa.list_(block))], ["id", "key", "cut", "blocks"])
+
+    return of.mapInArrow(align, f"id {kind}, key long, cut array<boolean>, blocks array<struct<partner:{kind},first:int,last:int,there:int,moved:boolean>>")
 
 
 def delete_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS, counts: bool = False) -> DataFrame:
     """The rows of ``docs`` with the blocks that they share with an earlier document deleted.
 
-    A text keeps its other lines as they were; white space at the end of a cut text
-    goes. Null texts stay null; texts without a long enough shared block stay as they are. Rows
-    with equal id and text are one document, so repeated rows leave each other alone. With
-    ``counts``, n_cut (long), the number of deleted lines, is added (and replaces a column called so).
+    A text keeps its other lines as they were; white space at the end of a cut text goes, and a copy of
+    an earlier text of ``block_words`` words or more becomes the empty text. Null texts stay null; texts
+    without a long enough shared block stay as they are. Rows with equal id and text are one document,
+    so repeated rows leave each other alone; a document's own repeats stay. With ``counts``, n_cut
+    (long), the number of deleted lines, is added (and replaces a column called so).
     """
-    cuts = repeated_lines(docs, doc_id, text, block_words).select(F.col("key").alias("__cut_key"), "cut")
+    cuts = shared_blocks(docs, doc_id, text, block_words).select(F.col("id").alias("__id"), F.col("key").alias("__cut_key"), F.col("cut").alias("__cut"))
     own = [c for c in docs.columns if not (counts and c.lower() == "n_cut")]
     rows = docs.withColumn("__key", F.xxhash64(F.col(doc_id), F.col(text)))
-    rows = rows.join(cuts, rows["__key"] == cuts["__cut_key"], "left")
-    lines = lines_of(F.col(text))
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("cut", i)), "")
-    new = F.when(F.col("cut").isNull(), F.col(text)).otherwise(F.regexp_replace(left, r"\s+$", ""))
+    rows = rows.join(cuts, (rows["__key"] == cuts["__cut_key"]) & rows[doc_id].eqNullSafe(cuts["__id"]), "left")
+    cut = F.col("__cut")
+    left = F.array_join(F.filter(lines_of(F.col(text)), lambda _, i: ~F.coalesce(F.get(cut, i), F.lit(False))), "")
+    new = F.when(cut.isNull(), F.col(text)).otherwise(F.regexp_replace(left, r"\s+$", ""))
     out = [new.alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in own]
     if counts:
-        out += [F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_cut")]
+        out += [F.coalesce(F.size(F.filter(cut, lambda x: x)), F.lit(0)).cast("long").alias("n_cut")]
     return rows.select(*out)

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -421,13 +422,21 @@ def test_lines_give_the_text_again(spark, docs, odd):
 
 
 def test_common_blocks():
-    run = lambda pairs, w=5: linededup.common_blocks([p for p, _ in pairs], [q for _, q in pairs], [w] * len(pairs), 20)
+    blocks = lambda pairs, w=5: linededup.common_blocks([p for p, _ in pairs], [q for _, q in pairs], [w] * len(pairs), 20)
+    run = lambda pairs: [b[:2] for b in blocks(pairs)]
     assert run([(i, i + 3) for i in range(4)]) == [(0, 3)]
     assert run([(i, i + 3) for i in range(3)]) == []
     assert run([(0, 10), (1, 11), (2, 12), (3, 13), (8, 0), (9, 1), (10, 2), (11, 3)]) == [(0, 3), (8, 11)]  # moved
     assert run([(0, 0), (1, 1), (2, 2), (3, 3), (6, 0), (7, 1), (8, 2), (9, 3)]) == [(0, 3), (6, 9)]  # repeated
     assert run([(0, 0), (2, 1), (4, 2), (6, 3)]) == []
     assert linededup.common_blocks([], [], []) == []
+    moved = [(i, i + 10) for i in range(6)] + [(6 + i, i) for i in range(4)]
+    assert blocks(moved) == [(0, 5, 10, False), (6, 9, 0, True)]
+    assert blocks([(i, j) for i in range(4) for j in range(4)]) == [(0, 3, 0, False)]  # one line again and again
+    n = 30_000  # blocks in reversed order take no longer than others
+    start = time.perf_counter()
+    assert len(linededup.common_blocks(range(n), [2 * (n - i) for i in range(n)], [20] * n)) == n
+    assert time.perf_counter() - start < 3
 
 
 def test_passages_go_from_later_documents(spark, odd):
@@ -455,8 +464,8 @@ def test_passages_go_from_later_documents(spark, odd):
             assert out[i].n_cut == 0
     rows = linededup.delete_repeats(odd).collect()
     assert len(rows) == len(ODD)
-    # One sentence again and again: only its first place in the partner is known, so no block is in step.
-    assert {r.text for r in rows if r.doc_id == 5} == {"The quick brown fox. " * 30}
+    # One sentence again and again is a copy of the earlier document like any other; repeated rows are one document.
+    assert [r.text for r in rows if r.doc_id == 5] == ["", ""]
     assert [r.text for r in rows if r.doc_id == 1] == ["The quick brown fox. " * 30]
 
 
@@ -480,11 +489,35 @@ def test_blocks_are_found_whoever_holds_their_parts(spark):
         cut = set()
         for q in plans[:n]:
             pairs = [(i, j, words[x]) for i, x in enumerate(p) for j, y in enumerate(q) if x == y]
-            for a, b in linededup.common_blocks(*([x[k] for x in pairs] for k in range(3))):
+            for a, b, _, _ in linededup.common_blocks(*([x[k] for x in pairs] for k in range(3))):
                 cut.update(range(a, b + 1))
         assert got[n] == len(cut)
 
 
+def test_later_copies_go_whoever_holds_their_lines(spark):
+    line = lambda x: " ".join(f"{x}{k}" for k in range(6)) + ".\n"
+    rows = [(1, line("a") + line("b")), (2, "".join(map(line, "abcd"))), (3, "".join(map(line, "abcd"))), (10, line("e") * 40), (11, line("e") * 40), (12, line("f") + line("e") * 25 + line("g"))]
+    rows += [(20, "".join(map(line, "hijkl"))), (21, "".join(map(line, "klxhij"))), (None, "".join(map(line, "mnop"))), (30, "".join(map(line, "mnopq")))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = {r.doc_id: (r.text, r.n_cut) for r in linededup.delete_repeats(docs, counts=True).collect()}
+    text = dict(rows)
+    assert all(out[i] == (text[i], 0) for i in (None, 1, 2, 10, 20))
+    assert out[3] == ("", 4)
+    assert out[11] == ("", 40)
+    assert out[12] == ((line("f") + line("g")).strip(), 25)
+    assert out[21] == (text[21], 0)  # three and two lines: under twenty words each
+    assert out[30] == (line("q").strip(), 4)
+    blocks = {r.id: [tuple(b) for b in r.blocks] for r in linededup.shared_blocks(docs).collect()}
+    assert blocks == {3: [(2, 0, 3, 0, False)], 11: [(10, 0, 39, 0, False)], 12: [(10, 1, 25, 0, False)], 30: [(None, 0, 3, 0, False)]}
+
+
+def test_repeated_rows_and_null_ids_are_kept_apart(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, text), (None, text), (None, text + " more"), (4, text), (4, text)], "doc_id long, text string")
+    out = collections.Counter((r.doc_id, r.text) for r in linededup.delete_repeats(docs).collect())
+    assert out == {(4, ""): 2, (None, text): 2, (None, text + " more"): 1}
+
+
 # 9: pages ------------------------------------------------------------------------------------------
 
 
