@@ -9,22 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import crc_mod, small_batches, text_or_empty
+from leafmill.llm.common import crc_mod, rebatched, small_batches, text_or_empty
 
-#: Bytes that a filter sees, filters, and bytes in which a chunk's windows begin; chunks overlap by WIDTH - 1.
-WIDTH, FILTERS, CHUNK = 4, 8, 256
-#: Fitting: labelled rows at most, the longest text used for fitting in bytes, passes, and texts a step.
-FIT_ROWS, FIT_BYTES, EPOCHS, STEP_ROWS = 4000, 1 << 16, 12, 32
+#: Bytes that a filter sees (even), filters, and bytes in which a chunk's windows begin; chunks overlap by WIDTH - 1.
+WIDTH, FILTERS, CHUNK = 6, 16, 256
+#: Fitting: labelled rows at most, passes, and texts a step. A text over FIT_BYTES is fitted on as many bytes
+#: of it, in pieces of PIECE spread evenly over the whole text; so the sample is at most FIT_ROWS * FIT_BYTES.
+FIT_ROWS, FIT_BYTES, PIECE, EPOCHS, STEP_ROWS = 4000, 1 << 15, 1 << 11, 12, 32
 THRESHOLD = 0.3
 _BLOCK = 1 << 10  # chunks convolved at once
 
 
 def _chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts padded to whole chunks in one row of bytes, and each chunk's text."""
+    """A row of bytes for each chunk, with the first bytes of the text's next chunk or zeros behind, and each chunk's text."""
     n = [-(-len(t) // CHUNK) for t in texts]
-    data = np.frombuffer(b"".join(t.ljust(k * CHUNK, b"\0") for t, k in zip(texts, n, strict=True)) + b"\0" * WIDTH, np.uint8)
-    # The last windows of a text may see the next one's first bytes only if it fills its chunk; a text's own end counts for little.
-    return data, np.repeat(np.arange(len(texts)), n)
+    own = np.frombuffer(b"".join(t.ljust(k * CHUNK, b"\0") for t, k in zip(texts, n, strict=True)), np.uint8).reshape(-1, CHUNK)
+    owner = np.repeat(np.arange(len(texts)), n)
+    behind = np.zeros((len(own), WIDTH - 1), np.uint8)
+    goes_on = np.flatnonzero(owner[1:] == owner[:-1])
+    behind[goes_on] = own[goes_on + 1, : WIDTH - 1]
+    return np.concatenate([own, behind], axis=1), owner
 
 
 @dataclass
@@ -33,27 +37,25 @@ class Network:
     out: np.ndarray  # weights of the document's largest and mean chunk maxima
     bias: float
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """The filters as two tables over pairs of bytes."""
+    def pairs(self) -> list[np.ndarray]:
+        """The filters as tables over pairs of bytes."""
         t = self.table
-        return tuple(np.ascontiguousarray((t[i + 1][:, None, :] + t[i][None, :, :]).reshape(65536, FILTERS)) for i in (0, 2))
+        return [np.ascontiguousarray((t[i + 1][:, None, :] + t[i][None, :, :]).reshape(65536, FILTERS)) for i in range(0, WIDTH, 2)]
 
-    def chunk_maxima(self, data: np.ndarray, tables: tuple[np.ndarray, np.ndarray], arg: bool = False):
+    def chunk_maxima(self, data: np.ndarray, tables: list[np.ndarray], arg: bool = False):
         """The largest response of each filter in each chunk (and where)."""
-        first, second = tables
-        chunks = (len(data) - WIDTH) // CHUNK
-        wide = data.astype(np.uint16)
-        pair = wide[:-1] | wide[1:] << np.uint16(8)
+        chunks = len(data)
         best, at = np.empty((chunks, FILTERS), np.float32), np.empty((chunks, FILTERS), np.int64) if arg else None
         for a in range(0, chunks, _BLOCK):
             b = min(chunks, a + _BLOCK)
-            z = first[pair[a * CHUNK : b * CHUNK]]
-            z += second[pair[a * CHUNK + 2 : b * CHUNK + 2]]
-            z = z.reshape(b - a, CHUNK, FILTERS)
+            wide = data[a:b].astype(np.uint16)
+            pair = wide[:, :-1] | wide[:, 1:] << np.uint16(8)
+            z = tables[0][pair[:, :CHUNK]]
+            for k, t in enumerate(tables[1:], 1):
+                z += t[pair[:, 2 * k : 2 * k + CHUNK]]
             if arg:
-                place = z.argmax(axis=1)
-                best[a:b] = np.take_along_axis(z, place[:, None, :], axis=1)[:, 0]
-                at[a:b] = place + (np.arange(a, b) * CHUNK)[:, None]
+                at[a:b] = z.argmax(axis=1)
+                best[a:b] = np.take_along_axis(z, at[a:b, None, :], axis=1)[:, 0]
             else:
                 z.max(axis=1, out=best[a:b])
         return (best, at) if arg else best
@@ -69,10 +71,13 @@ class Network:
             features[has, FILTERS:] = np.add.reduceat(r, starts) / count[has, None]
         return features, count
 
-    def score(self, texts: list[bytes], tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    def score(self, texts: list[bytes], tables: list[np.ndarray]) -> np.ndarray:
+        """Each text's probability of label 1: of the text alone, whatever stands beside it."""
         data, owner = _chunks(texts)
         features, _ = self.pooled(self.chunk_maxima(data, tables), owner, len(texts))
-        return 1 / (1 + np.exp(-np.clip(features @ self.out + self.bias, -30, 30)))
+        # Row by row: a product of matrices may round by the number of rows.
+        z = (features.astype(np.float64) * self.out).sum(axis=1) + self.bias
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit(texts: list[bytes], labels: list[int], seed: int = 7, epochs: int = EPOCHS) -> Network:
@@ -103,9 +108,9 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 7, epochs: int = EPOC
             top = (best >= features[owner, :FILTERS]) & (best > 0)
             g_best = np.where(top, (d[:, None] * net.out[:FILTERS])[owner], 0) + np.where(best > 0, (d / np.maximum(count, 1))[owner, None] * net.out[FILTERS:], 0)
             g_table = np.zeros_like(net.table)
-            filters = np.broadcast_to(np.arange(FILTERS), at.shape)
+            filters, chunk = np.broadcast_to(np.arange(FILTERS), at.shape), np.arange(len(at))[:, None]
             for w in range(WIDTH):
-                np.add.at(g_table[w], (data[at + w], filters), g_best)
+                np.add.at(g_table[w], (data[chunk, at + w], filters), g_best)
             turn += 1
             fix1, fix2 = 1 - 0.9**turn, 1 - 0.999**turn
             for k, (g, value) in enumerate(((g_table, net.table), (g_out, net.out))):
@@ -119,27 +124,49 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 7, epochs: int = EPOC
     return net
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, longest: int = FIT_BYTES) -> tuple[list[bytes], list[int]]:
-    """A bounded sample of labelled texts whose id is not held out, in the order of a hash of the id."""
+def spread(text: bytes, most: int) -> bytes:
+    """The text, or where it is longer than ``most`` bytes, pieces at even distances from its start to its end."""
+    if len(text) <= most:
+        return text
+    n = max(1, most // PIECE)
+    last = len(text) - PIECE
+    return b"".join(text[at : at + PIECE] for at in (last * i // max(1, n - 1) for i in range(n)))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most: int = FIT_BYTES) -> tuple[list[bytes], list[int]]:
+    """A bounded sample of labelled texts whose id is not held out, in the order of a hash of the id.
+
+    Texts of every length take part; of those over ``most`` bytes, pieces from the whole text. Null
+    texts are empty texts; rows without a quality label, and ids without a text, do not count.
+    """
+    small_batches(docs.sparkSession)
     chosen = labels.where(F.col("quality").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0)).select(F.col("doc_id").alias("__id"), "quality")
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "quality").limit(rows)
-    found = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).where(F.octet_length(text_or_empty()) <= longest)
-    sample = found.select("doc_id", text_or_empty().alias("text"), "quality").orderBy("doc_id", "text", "quality").collect()
-    return [r.text.encode("utf-8", "surrogatepass") for r in sample], [int(r.quality) for r in sample]
+    found = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+
+    def run(batches):
+        for batch in rebatched(batches):
+            cut = [spread(t.encode("utf-8", "surrogatepass"), most) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("quality"), pa.array(cut, pa.binary())], ["place", "quality", "text"])
+
+    parts = found.select(F.xxhash64("doc_id").alias("place"), F.col("quality").cast("int"), text_or_empty().alias("text")).mapInArrow(run, "place long, quality int, text binary")
+    sample = parts.orderBy("place", F.xxhash64("text"), "quality").limit(rows).collect()
+    return [bytes(r.text) for r in sample], [r.quality for r in sample]
 
 
 def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted), one row for each row of ``docs``.
 
     Filters pass over overlapping chunks of the whole text; a null text is the empty text, whose
-    score is what the bias says. A null id counts as the empty id. Repeated rows get equal scores.
+    score is what the bias says. A null id counts as the empty id. A score depends on the text alone,
+    so repeated rows get equal scores; extra columns are not read, whatever they are called.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), (crc_mod(F.col(doc_id), 5) == 0).alias("held_out"), text_or_empty(text).alias("text"))
 
     def run(batches):
         tables = net.pairs()
-        for batch in batches:
+        for batch in rebatched(batches):
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             scores = np.asarray(net.score(texts, tables), np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
