@@ -90,13 +90,14 @@ def row_key(*names: str) -> Column:
     return F.xxhash64(*[F.col(n) for n in names])
 
 
-def with_local_order(df: DataFrame, *order: str) -> DataFrame:
-    """Rows range-partitioned and sorted by ``order``, with their partition and place in it.
+def with_local_order(df: DataFrame, *order: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows range-partitioned by ``order`` and sorted by it and then ``ties``, with their partition and place in it.
 
-    The places come from monotonically_increasing_id, so no task sees more than its own range.
+    A sample of the values of ``order`` goes to the driver, so these are numbers or short; ``ties`` may
+    be whole texts. The places come from monotonically_increasing_id, so no task sees more than its own range.
     """
     mid = F.monotonically_increasing_id()
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order, *ties)
     return ranged.withColumns(
         {"__part": F.shiftright(mid, 33).cast("int"), "__idx": mid.bitwiseAND(F.lit((1 << 33) - 1))}
     )

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.bpe import CACHE_WORDS, chunks_of, library
-from leafmill.llm.common import small_batches, text_or_empty, with_local_order, write_scratch
+from leafmill.llm.common import rebatched, small_batches, text_or_empty, with_local_order, write_scratch
 
 #: Row groups and pages of the files: a reader can fetch few documents without the rest.
 ROW_GROUP_BYTES = 16 << 20
@@ -91,15 +91,16 @@ def encode_in_order(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_
     """(doc_id, part, place, before, n_tokens, tokens) in ascending id order, each document closed by ``end_id``.
 
     ``before`` counts the ids of the earlier documents of the same part. Equal ids follow each other
-    in the order of their texts; null ids come first; a null text is the empty text.
+    in the order of a hash of their texts (then of the texts); null ids come first; a null text is the
+    empty text; repeated rows each have their place; other columns are not read.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
-    rows = with_local_order(rows, "doc_id", "text")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("__hash", F.xxhash64("text"))
+    rows = with_local_order(rows, "doc_id", "__hash", ties=("text",))
 
     def run(batches):
         encoder, end, before = library_encoder(path), np.array([end_id], "<u4").tobytes(), 0
-        for batch in batches:
+        for batch in rebatched(batches):
             ids = encoder.encode(batch.column("text").to_pylist(), end)
             n = np.array([len(i) // 4 for i in ids], np.int64)
             offsets = np.concatenate([[0], np.cumsum(n)])
@@ -149,7 +150,7 @@ def token_digests(rows: DataFrame) -> DataFrame:
     small_batches(rows.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in batches:  # views of the column, so any size will do
             tokens = batch.column("tokens")
             at, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
