@@ -104,6 +104,51 @@ def test_classifier_learns_and_scores_all(spark, odd, empty):
     assert cnn.fit([], []).score([b"", b"x"], cnn.fit([], []).pairs()).tolist() == [0.5, 0.5]
 
 
+def test_scores_are_of_the_text_alone(docs):
+    """Equal to a plain forward pass, byte by byte, whatever stands in the batch."""
+    net = cnn.fit([b"good words here", b"BAD!!! $$$"] * 20, [1, 0] * 20, epochs=2)
+    texts = [(r.text or "").encode() for r in docs.limit(60).collect()] + [b"x" * n for n in (0, 1, 255, 256, 257, 512, 3000)] + [b"\xff" * 256]
+    tables = net.pairs()
+    alone = [net.score([t], tables)[0] for t in texts]
+    order = random.Random(1).sample(range(len(texts)), len(texts))
+    for size in (1, 7, 256):
+        for a in range(0, len(order), size):
+            some = order[a : a + size]
+            assert net.score([texts[i] for i in some], tables).tolist() == [alone[i] for i in some]
+    for t, got in zip(texts[-12:], alone[-12:], strict=True):
+        padded = np.frombuffer(t + b"\0" * (cnn.CHUNK + cnn.WIDTH), np.uint8)
+        tops = []
+        for a in range(0, len(t), cnn.CHUNK):
+            windows = [sum(net.table[w, padded[i + w]].astype(float) for w in range(cnn.WIDTH)) for i in range(a, a + cnn.CHUNK)]
+            tops.append(np.maximum(np.max(windows, axis=0), 0))
+        features = np.concatenate([np.max(tops, axis=0), np.mean(tops, axis=0)]) if tops else np.zeros(2 * cnn.FILTERS)
+        assert got == pytest.approx(1 / (1 + math.exp(-(features @ net.out + net.bias))), abs=1e-4)
+
+
+def test_long_texts_take_part_in_the_fit(spark):
+    rows = [(i, ("a" if i % 2 else "b") * (200_000 if i < 20 else 50)) for i in range(60)] + [(7, None), (7, "z")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(99, 1), (3, None)], "doc_id long, quality int")
+    texts, marks = cnn.training_rows(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    free = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert len(texts) == len(marks) == len(free)
+    assert sum(len(t) == cnn.FIT_BYTES for t in texts) == len({i for i in free if i < 20})
+    assert all(q == (t[:1] in (b"a", b"z", b"")) for t, q in zip(texts, marks, strict=True))
+    few = cnn.training_rows(spark.createDataFrame(rows, "doc_id long, text string"), labels, rows=5)
+    assert len(few[0]) == 5
+    text = bytes(range(256)) * 1000
+    assert cnn.spread(text, cnn.FIT_BYTES)[-cnn.PIECE :] == text[-cnn.PIECE :]
+
+
+def test_held_out_accuracy(spark):
+    folder = f"{SF}/../sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality is not null")
+    got = queries.op2_byte_cnn(spark, folder).where("held_out").join(labels, "doc_id").collect()
+    assert len(got) > 500
+    assert sum(r.predicted == r.quality for r in got) >= 0.98 * len(got)
+    low = [r for r in got if r.quality == 0]
+    assert sum(r.predicted == 0 for r in low) >= 0.9 * len(low)
+
+
 def test_op2_never_learns_from_held_out(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     sample, marks = cnn.training_rows(docs, labels)
@@ -152,6 +197,21 @@ def test_token_files_of_nothing(spark, empty):
     assert token_files.token_digests(token_files.read_tokens(spark, files)).count() == 0
 
 
+def test_equal_ids_are_ordered_without_their_texts(spark):
+    """A third of all rows with one id: split by the texts' hashes, of which alone a sample goes to the driver."""
+    rows = [(7 if i % 3 == 0 else i, f"text {i} " * 50) for i in range(600)] + [(7, "text 0 " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    encoded = token_files.encode_in_order(docs, queries.vocabulary_path(), 2)
+    files = token_files.write_tokens(encoded)
+    got = token_files.read_tokens(spark, files).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(i for i, _ in rows)
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+    again = token_files.read_tokens(spark, token_files.write_tokens(token_files.encode_in_order(docs.repartition(3), queries.vocabulary_path(), 2)))
+    assert again.orderBy("start").collect() == got
+    exchange = re.findall(r"rangepartitioning\(([^)]*)\)", encoded._jdf.queryExecution().executedPlan().toString())
+    assert exchange and all("text#" not in e for e in exchange)
+
+
 # 4: rules ------------------------------------------------------------------------------------------
 
 
