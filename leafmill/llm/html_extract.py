@@ -4,173 +4,293 @@ from __future__ import annotations
 
 import html
 import re
-from urllib.parse import urlsplit
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialize, small_batches
+from leafmill.llm.common import materialize, rebatched, small_batches
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed")}
+_WS = " \t\n\f\r"
+_PLAIN_TAG = re.compile(rf"<(/?)([a-zA-Z][^{_WS}/>]*+)[{_WS}]*+/?>")
+_TAG_NAME = re.compile(rf"</?([a-zA-Z][^{_WS}/>]*+)")
+_ATTR = re.compile(rf"[{_WS}/]*+(?:(>)|(=?[^{_WS}/>=]*+)[{_WS}]*+(?:(=)[{_WS}]*+)?)")
+_UNQUOTED = re.compile(rf"[^{_WS}>]*+")
+#: Elements whose content is not markup, or is not shown; they end at their own end tag alone.
+_RAW = {t: re.compile(rf"</{t}(?=[{_WS}/>])", re.I) for t in "script style textarea title noscript template iframe xmp noembed noframes".split()}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split()
 )
 _CONTAINER = frozenset("article main section div td body blockquote".split())
-#: An open paragraph ends where one of these begins.
-_ENDS_P = _BLOCK - {"br"}
-#: Elements of one kind that end an open one of the kinds named.
-_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_SCOPE = frozenset("div article section main td th table ul ol dl body aside nav footer header form blockquote".split())
-#: Elements, roles, and words of a class or id that are not the article.
+#: Elements that end an open one of the kinds named, which may be left open; and what keeps an open one out of reach.
+_ENDS = {t: ("p",) for t in _BLOCK - {"br", "tr", "td", "th", "tbody", "thead", "tfoot", "html", "body"}}
+_ENDS |= {"li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_ENDS |= {t: ("tr", "tbody", "thead", "tfoot") for t in ("tbody", "thead", "tfoot")}
+_CELLS = frozenset("tr td th tbody thead tfoot".split())
+_OPEN_ENDED = _CELLS | {"p", "li", "dt", "dd", "option"}
+_STOPS_ITEMS = _BLOCK - {"address", "div", "p", "li", "dt", "dd", "br", "hr"}
+_STOPS_P = frozenset("table td th caption object button".split())
+#: Elements and roles that are not the article.
 _DROP_TAGS = frozenset("nav footer aside form button select option input label svg canvas object embed head audio video map dialog menu fieldset script style".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-_DROP_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs "
-    "sidebar aside footer header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter "
-    "subscribe subscription signup login search share sharing social related recommended recommendations more widget comment comments reply replies "
-    "respond disqus discussion pagination pager copyright legal disclaimer skip hidden".split()
+#: Containers whose class or id may say that they are not the article. Words that say so wherever they stand
+#: in a name, words that say so alone or beside others that do, and words that say nothing.
+_NAMED = frozenset("div section ul ol dl table td aside article figure details blockquote center".split())
+_SURE_WORDS = frozenset(
+    "advert adverts advertisement advertisements advertising adbox breadcrumb breadcrumbs consent cookie cookies disqus footer gdpr "
+    "masthead menu modal nav navbar navigation newsletter overlay pager pagination popup promo promotion respond sidebar sponsor sponsored subscribe "
+    "subscription toolbar topbar".split()
+)
+_WEAK_WORDS = frozenset(
+    "ad ads alert aside banner copyright disclaimer discussion header hidden legal login more notice notices notification recommendations recommended "
+    "related replies reply search share sharing signup skip social widget".split()
 )
+_NEUTRAL_WORDS = frozenset("area bar bottom box block container inner items left links list outer page posts right row section site top wrap wrapper".split())
+_HOLDS_PAGE = frozenset("content main article post entry page story has with layout no".split())
+_COMMENTS = frozenset("comment comments commentlist".split())
 _WORD = re.compile(r"[A-Za-z]+")
+_NUMBERS = re.compile(r"\d+")
 _GOOD = re.compile(r"article|content|post|entry|story|main|body|text", re.I)
+_HEADINGS = ("h1", "h2", "h3")
+
+
+def host_of(url: Column) -> Column:
+    """The lower-case host of a URL without user and port; empty where there is none."""
+    named = F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
+    return F.regexp_replace(F.lower(F.trim(named)), r"[\[\]]", "")
+
+
+def attributes(page: str, at: int) -> tuple[int, dict[str, str]]:
+    """The attributes from ``at`` on and the place behind the tag; the page's end if the tag does not end.
+
+    As browsers read them: a quote only counts at the start of a value, and a value that is not quoted
+    goes up to white space or the tag's end. Each character is passed once.
+    """
+    named: dict[str, str] = {}
+    size = len(page)
+    while True:
+        m = _ATTR.match(page, at)
+        at = m.end()
+        if m[1]:
+            return at, named
+        if at >= size:
+            return size + 1, named
+        value = ""
+        if m[3]:
+            quote = page[at]
+            if quote in "\"'":
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    return size + 1, named
+                value, at = page[at + 1 : end], end + 1
+            else:
+                end = _UNQUOTED.match(page, at).end()
+                value, at = page[at:end], end
+        named.setdefault(m[2].lower(), value)
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+def _not_article(names: list[str]) -> bool:
+    """Whether classes and ids name something beside the article.
+
+    A name says so by a sure word, or by weak words and such as say nothing. A container that is also
+    called the content, or a name that says so beside such a word, stays; comments always go.
+    """
+    said = False
+    for name in names:
+        words = [w.lower() for w in _WORD.findall(name)]
+        if not _COMMENTS.isdisjoint(words):
+            return True
+        holds = not _HOLDS_PAGE.isdisjoint(words)
+        if holds and _HOLDS_PAGE.issuperset(words):
+            said = None
+        if said is False and not holds:
+            sure = not _SURE_WORDS.isdisjoint(words)
+            said = sure or (not _WEAK_WORDS.isdisjoint(words) and all(w in _WEAK_WORDS or w in _NEUTRAL_WORDS for w in words))
+    return bool(said)
 
 
-def _describe(tag: str, attrs: str) -> tuple[str, bool]:
+def _describe(tag: str, named: dict[str, str]) -> tuple[str, bool]:
     """The element's step in a path (numbers generalised), and whether it is not part of an article."""
-    if not attrs or attrs.isspace():
+    if not named:
         return tag, tag in _DROP_TAGS
-    named = {m[1].lower(): html.unescape(next((g for g in m.groups()[1:] if g is not None), "")) for m in reversed([*_ATTR.finditer(attrs)])}
-    classes = named.get("class", "")
-    step = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes.split()})])
-    words = {w.lower() for w in _WORD.findall(f"{classes} {named.get('id', '')}")}
+    classes = html.unescape(named.get("class", "")).split()
+    step = ".".join([tag, *sorted({_NUMBERS.sub("#", c) for c in classes})])
     drop = (
         tag in _DROP_TAGS
-        or named.get("role", "").lower() in _DROP_ROLES
+        or named.get("role", "").strip().lower() in _DROP_ROLES
         or "hidden" in named
         or named.get("aria-hidden", "").lower() == "true"
         or "display:none" in named.get("style", "").replace(" ", "").lower()
-        or (tag not in ("html", "body", "article", "main") and not words.isdisjoint(_DROP_WORDS))
+        or (tag in _NAMED and _not_article([*classes, named.get("id", "")]))
     )
     return step, drop
 
 
-def blocks_of(page: str):
-    """Yields (steps of the open elements, text, share of it in links) for each block of a page in order.
+class Paths:
+    """Paths of open block elements as numbers: 0 is the page, and a path's number is above its parent's."""
+
+    def __init__(self):
+        self.parent, self.step, self._known = [-1], [""], {}
 
-    Blocks of menus, adverts and the like are left out. Of a header only headings inside an article stay.
+    def below(self, parent: int, step: str) -> int:
+        n = self._known.setdefault((parent, step), len(self.step))
+        if n == len(self.step):
+            self.parent.append(parent)
+            self.step.append(step)
+        return n
+
+    def text(self, n: int) -> str:
+        steps = []
+        while n:
+            steps.append(self.step[n])
+            n = self.parent[n]
+        return " > ".join(reversed(steps))
+
+
+def blocks_of(page: str, paths: Paths) -> Iterator[tuple[int, str, float]]:
+    """(path, text, share of it in links) of each block of a page in order.
+
+    Blocks of menus, adverts and the like are left out. Of a header only headings inside an article
+    stay. What holds for an element is worked out when it opens, so the time grows with the page alone.
     """
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, step, dropped here or above, inside a header
+    # tag, path, dropped here or above, inside a header, inside a heading, inside a link, places of open-ended elements
+    stack: list[tuple] = [("", 0, False, False, False, False, {})]
+    count: dict[str, int] = {}
+    article = 0
     parts: list[str] = []
     linked = 0
 
-    def flush():
-        nonlocal linked
-        text = " ".join("".join(parts).split())
-        parts.clear()
-        share, linked = (linked / max(1, len(text))), 0
-        return text, min(1.0, share)
-
-    def close(upto: int):
+    def close(upto: int) -> None:
+        nonlocal article
+        for e in stack[upto:]:
+            count[e[0]] -= 1
+            article -= e[0] in ("article", "main")
         del stack[upto:]
 
     at, size = 0, len(page)
-    links = 0
     while at <= size:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else size]
-        if text:
-            hidden = bool(stack) and (stack[-1][2] or (stack[-1][3] and not any(s[0] in ("h1", "h2", "h3") for s in stack)))
-            if not hidden:
-                text = html.unescape(text)
-                parts.append(text)
-                if links:
-                    linked += len(text)
-        if not m:
+        start = page.find("<", at)
+        top = stack[-1]
+        if start != at:
+            piece = page[at : size if start < 0 else start]
+            if piece and not top[2] and (top[4] or not top[3]):
+                if "&" in piece:
+                    piece = html.unescape(piece)
+                parts.append(piece)
+                if top[5]:
+                    linked += len(piece)
+        if start < 0:
             break
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
+        m = _PLAIN_TAG.match(page, start)
+        named: dict[str, str] = {}
+        if m:
+            end, tag, at = m[1], m[2].lower(), m.end()
+        elif m := _TAG_NAME.match(page, start):
+            end, tag = page[start + 1] == "/", m[1].lower()
+            at, named = attributes(page, m.end())
+            if at > size:
+                break  # a tag without an end swallows the rest
+        elif page.startswith("<!--", start):
+            close_at = start + 4 if page.startswith((">", "->"), start + 4) else page.find("-->", start + 4)
+            at = size + 1 if close_at < 0 else page.index(">", close_at) + 1
             continue
-        where = [s[1] for s in stack if s[0] in _BLOCK] if parts and tag in _BLOCK else []
-        if tag in _BLOCK and parts:
-            text, share = flush()
+        elif page.startswith(("<!", "<?", "</"), start):
+            close_at = page.find(">", start)
+            at = size + 1 if close_at < 0 else close_at + 1
+            continue
+        else:  # not markup
+            if not top[2] and (top[4] or not top[3]):
+                parts.append("<")
+            at = start + 1
+            continue
+        block = tag in _BLOCK
+        if block and parts:
+            text = " ".join("".join(parts).split())
             if text:
-                yield where, text, share
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-            links = sum(s[0] == "a" for s in stack)
+                yield top[1], text, min(1.0, linked / len(text))
+            parts.clear()
+            linked = 0
+        if end:
+            if count.get(tag):
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
             continue
-        if tag in _ENDS_P or tag in _ENDS:
-            ends = _ENDS.get(tag, ())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] in ends:
-                    close(k)
-                    break
-                if stack[k][0] in _SCOPE:
-                    break
-            links = sum(s[0] == "a" for s in stack)
+        if tag in _ENDS:
+            near = top[6]
+            open_ = [near[t] for t in _ENDS[tag] if t in near]
+            if open_:
+                close(min(open_))
         if tag in _RAW:
-            end = _RAW[tag].search(page, at)
-            at = end.end() if end else size
+            ended = _RAW[tag].search(page, at)
+            at = size + 1 if not ended else attributes(page, ended.end())[0]
             continue
-        if tag in _VOID or m["attrs"].endswith("/") and tag not in _BLOCK:
+        if tag in _VOID:
             continue
-        step, drop = _describe(tag, m["attrs"])
-        above, header = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+        above = stack[-1]
+        step, drop = _describe(tag, named)
+        header = above[3]
         if tag == "header":
-            header, drop = True, not any(s[0] in ("article", "main") for s in stack)
-        stack.append((tag, step, above or drop, header))
-        links += tag == "a"
-    text, share = flush()
+            header, drop = True, drop or not article
+        near = above[6]
+        if tag in _OPEN_ENDED or (near and (tag in _STOPS_ITEMS or tag in _STOPS_P)):
+            if tag == "table":
+                near = {}
+            elif tag in _STOPS_ITEMS or tag in _STOPS_P:
+                gone = {"li", "dt", "dd"} | ({"p", "option"} if tag in _STOPS_P else set())
+                near = {k: v for k, v in near.items() if k not in gone}
+            if tag in _OPEN_ENDED:
+                near = near | {tag: len(stack)}
+        path = paths.below(above[1], step) if block else above[1]
+        stack.append((tag, path, above[2] or drop, header, above[4] or tag in _HEADINGS, above[5] or tag == "a", near))
+        count[tag] = count.get(tag, 0) + 1
+        article += tag in ("article", "main")
+    text = " ".join("".join(parts).split())
     if text:
-        yield [s[1] for s in stack if s[0] in _BLOCK], text, share
-
-
-def containers(page: str) -> list[tuple[str, float]]:
-    """(path, score) of the page's containers: text outside links, more for tags and classes of articles."""
-    chars: dict[tuple[str, ...], float] = {}
-    for steps, text, share in blocks_of(page):
-        good = len(text) * (1 - share)
-        for k, s in enumerate(steps):
-            if s.split(".", 1)[0] in _CONTAINER:
-                key = tuple(steps[: k + 1])
-                chars[key] = chars.get(key, 0) + good
-    out = []
-    for key, n in chars.items():
-        tag, _, classes = key[-1].partition(".")
-        bonus = {"article": 2.5, "main": 1.6, "body": 0.5}.get(tag, 1.0) * (1.3 if _GOOD.search(classes) else 1.0)
-        out.append((" > ".join(key), n * bonus * (1 + 0.05 * min(len(key), 10))))
-    return out
+        yield stack[-1][1], text, min(1.0, linked / len(text))
+
+
+def containers(page: str) -> tuple[Paths, list[float]]:
+    """The page's paths and each one's score, -1 if it is no container: text outside links, more for tags and classes of articles."""
+    paths = Paths()
+    chars: dict[int, float] = {}
+    for path, text, share in blocks_of(page, paths):
+        chars[path] = chars.get(path, 0.0) + len(text) * (1 - share)
+    score, depth = [chars.get(n, 0.0) for n in range(len(paths.step))], [0] * len(paths.step)
+    for n in range(len(score) - 1, 0, -1):
+        score[paths.parent[n]] += score[n]
+    for n, step in enumerate(paths.step):
+        if n:
+            depth[n] = depth[paths.parent[n]] + 1
+        tag, _, classes = step.partition(".")
+        if n and tag not in _CONTAINER:
+            score[n] = -1.0
+            continue
+        bonus = {"article": 2.5, "main": 1.6, "body": 0.5, "": 0.5}.get(tag, 1.0) * (1.3 if _GOOD.search(classes) else 1.0)
+        score[n] *= bonus * (1 + 0.05 * min(depth[n], 10))
+    return paths, score
 
 
 def best_path(page: str) -> str:
-    """The path of the page's best container (the first in order of equal ones), or "" without any."""
-    found = containers(page)
-    return min(found, key=lambda x: (-x[1], x[0]))[0] if found else ""
+    """The path of the page's best container (of equal ones the first to open); "" is the whole page."""
+    paths, score = containers(page)
+    return paths.text(max(range(len(score)), key=lambda n: (score[n], -n)))
 
 
 def extract(page: str, path: str) -> str | None:
-    """The blocks inside the elements of a path joined by newlines; None if the page has no such element."""
-    want = path.split(" > ") if path else []
-    lines = [text for steps, text, _ in blocks_of(page) if steps[: len(want)] == want]
+    """The blocks inside the elements of a path joined by newlines; None if the page has no such block."""
+    want, paths, lines = path.split(" > ") if path else [], Paths(), []
+    agrees = [0]  # the steps of each path that agree with the wanted ones, or -1
+    for n, text, _ in blocks_of(page, paths):
+        for m in range(len(agrees), len(paths.step)):
+            k = agrees[paths.parent[m]]
+            agrees.append(k if k in (-1, len(want)) else k + 1 if paths.step[m] == want[k] else -1)
+        if agrees[n] == len(want):
+            lines.append(text)
     return "\n".join(lines) if lines else None
 
 
@@ -178,12 +298,11 @@ def vote(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """(host, path): of each host the path that most of its pages name; of equal ones the first in order."""
 
     def run(batches):
-        for batch in batches:
-            hosts = [host_of(u) for u in batch.column("url").to_pylist()]
+        for batch in rebatched(batches):
             paths = [best_path(h or "") for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], ["host", "path"])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], ["host", "path"])
 
-    votes = pages.select(F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html")).mapInArrow(run, "host string, path string")
+    votes = pages.select(host_of(F.col(url).cast("string")).alias("host"), F.col(page).cast("string").alias("html")).mapInArrow(run, "host string, path string")
     counts = votes.where("path <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
     return counts.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), "path"))["path"].alias("path"))
 
@@ -193,16 +312,17 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
     Each page is read along its host's winning path, or where it has no such element along its own
     best one. A null, empty or boilerplate-only page gives the empty text; pages without a host vote
-    together; repeated rows each vote and each get a row.
+    together; of paths with equal votes the first in order wins; repeated rows each vote and each get a
+    row; an empty table gives no rows. Pages of any length and depth are read whole, in time in
+    proportion to their length. Extra columns are not read, whatever they are called.
     """
     small_batches(pages.sparkSession)
     winners = materialize(vote(pages, url, page), "host-paths")
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).cast("string").alias("html"))
-    host = F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1), F.lit("")))
-    joined = rows.withColumn("host", F.regexp_replace(host, r"[\[\]]", "")).join(winners, "host", "left").select("page_id", "url", "html", "path")
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).cast("string").alias("html"), host_of(F.col(url).cast("string")).alias("host"))
+    joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "path")
 
     def run(batches):
-        for batch in batches:
+        for batch in rebatched(batches):
             texts = []
             for h, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True):
                 text = extract(h, path) if h and path else None
