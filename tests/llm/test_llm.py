@@ -601,6 +601,61 @@ def test_extraction(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def read(page):
+    return html_extract.extract(page, html_extract.best_path(page))
+
+
+def test_markup_is_read_as_browsers_do():
+    assert read("<div><p title=it's>Hello</p></div>") == "Hello"
+    assert read("<div><p data-x='a>b' class=\"c\"title=x>One</p><p a=b/>Two<br/>three</div>") == "One\nTwo\nthree"
+    assert read("<article><h2 class='section-header'>Head</h2><p class='more'>One</p><p id=share>Two</p><p>a < b &amp; c &lt;d&gt;</article>") == "Head\nOne\nTwo\na < b & c <d>"
+    assert read("<main><table><tr><td>a<td>b<tr><td>c</table><ul><li>d<li><div>e<li>f</ul></main>") == "a\nb\nc\nd\ne\nf"
+    assert read("<article><!-- > no --><!-->yes<script>if (a<b) '</p>'</script ><style>p</style></article>") == "yes"
+    noise = "".join(f"<div class='{c}'>no</div>" for c in ("ad", "cookie-notice", "post-comments", "site-footer", "ad-banner", "related-posts", "share box", "sidebar_left"))
+    assert read(f"<body><div class='content sidebar-right'><p>yes</p>{noise}<div class='article-header'>too</div><div class='read-more-text'>and</div></div></body>") == "yes\ntoo\nand"
+    assert read("<nav>menu</nav><footer>foot</footer>") is None
+    assert read("<p>no container") == "no container"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 80_000 + "x", "<a '" * 80_000, "<a b=\"" * 80_000, "<div>" * 40_000 + "x</span>" * 40_000, "<p><span>" * 20_000 + "<li>x" * 20_000, "<!--" * 80_000, "<title>" * 80_000, "<div><p>a b" * 20_000])
+def test_pages_take_time_in_proportion(page):
+    start = time.perf_counter()
+    read(page)
+    assert time.perf_counter() - start < 2
+
+
+def test_hosts_decide_where_pages_are_ambiguous(spark):
+    """Each page alone prefers its longer box; the host's other pages say which one is the article."""
+    page = lambda story, box: f"<body><div class=lead><p>{story}</p></div><div class=teaser><p>{box}</p></div></body>"
+    rows = [(i, f"https://u@Host.example:81/{i}", page("story " * 30, "box " * 3), "x", "y") for i in range(3)]
+    rows += [(3, "//host.example/3", page("short story", "box " * 40), "x", "y"), (4, "https://other.example/4", page("short story", "box " * 40), "x", "y")]
+    # Equal votes: the path that is first in order.
+    rows += [(5, "https://tie.example/5", page("story " * 30, "box"), "x", "y"), (6, "https://tie.example/6", page("story", "box " * 40), "x", "y")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, path string, host string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.extract_pages(frame).collect()}
+    assert got == {i: ("story " * 30).strip() for i in range(3)} | {3: "short story", 4: ("box " * 40).strip(), 5: ("story " * 30).strip(), 6: "story"}
+    assert html_extract.extract_pages(frame.limit(0)).collect() == []
+    deep = spark.createDataFrame([(1, "http://d.example", "<div>" * 5000 + "word " * 100_000), (2, "http://d.example", "<div>" * 5000 + "b")], "page_id long, url string, html string")
+    assert sorted(r.n_chars for r in html_extract.extract_pages(deep).collect()) == [1, 499_999]
+
+
+def test_paths_equal_a_plain_sum(spark):
+    """The scores of all containers against sums over the blocks' own steps."""
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        paths, score = html_extract.containers(r.html)
+        own = html_extract.Paths()
+        blocks = [(own.text(n).split(" > ") if n else [], len(t) * (1 - s)) for n, t, s in html_extract.blocks_of(r.html, own)]
+        for n, step in enumerate(paths.step):
+            steps = paths.text(n).split(" > ") if n else []
+            total = sum(x for b, x in blocks if b[: len(steps)] == steps)
+            tag, _, classes = step.partition(".")
+            if n and tag not in html_extract._CONTAINER:
+                assert score[n] == -1
+            else:
+                bonus = {"article": 2.5, "main": 1.6, "body": 0.5, "": 0.5}.get(tag, 1.0) * (1.3 if html_extract._GOOD.search(classes) else 1.0)
+                assert score[n] == pytest.approx(total * bonus * (1 + 0.05 * min(len(steps), 10)))
+
+
 def test_op9_reads_the_articles(spark):
     import html
 
