@@ -337,6 +337,84 @@ def test_recall_at_the_edit_limit(n):
     assert all(m["item_id"] == i for i, f in enumerate(found) for m in f)
 
 
+@pytest.mark.parametrize("n", [20, 40, 59, 120, 400])
+def test_recall_at_the_edit_limit_with_moves(n):
+    """Substitutions, insertions and deletions up to the limit; judged by what the item's own window then costs."""
+    rng = random.Random(n)
+    word = lambda: f"w{rng.randrange(3000)}"
+    items = [[word() for _ in range(n)] for _ in range(100)]
+    texts, due = [], set()
+    for i, item in enumerate(items):
+        copy = [*item]
+        for _ in range(int(decontam.EDIT_SHARE * n * 0.6)):
+            k = rng.randrange(len(copy))
+            copy[k : k + 1] = rng.choice([[], [word()], [copy[k], word()]])
+        body = [*(word() for _ in range(30)), *copy, *(word() for _ in range(30 + n))]
+        texts.append(" ".join(body))
+        limit = int(decontam.EDIT_SHARE * n)
+        if decontam.edit_distance(item, body[30 : 30 + n], limit) <= limit:
+            due.add(i)
+    found = decontam.Index([(i, " ".join(w)) for i, w in enumerate(items)]).matches(texts)
+    assert len(due) >= 80
+    assert sum(i in [m["item_id"] for m in found[i]] for i in due) >= 0.95 * len(due)
+
+
+def test_leaks_against_all_windows():
+    """Every window of every text compared with every item."""
+    rng = random.Random(17)
+    words = [f"v{i}" for i in range(40)]
+    items = [[rng.choice(words) for _ in range(rng.randrange(3, 16))] for _ in range(30)]
+    items += [items[0], items[1]]
+    texts = []
+    for _ in range(80):
+        t = [rng.choice(words) for _ in range(rng.randrange(40))]
+        for _ in range(rng.randrange(3)):
+            copy = [*rng.choice(items)]
+            for _ in range(rng.randrange(3)):
+                k = rng.randrange(len(copy) + 1)
+                copy[k : k + 1] = rng.choice([[], [rng.choice(words)], [rng.choice(words), *copy[k : k + 1]]])
+            at = rng.randrange(len(t) + 1)
+            t[at:at] = copy
+        texts.append(t)
+    want = {}
+    for i, t in enumerate(texts):
+        for j, item in enumerate(items):
+            k = int(decontam.EDIT_SHARE * len(item))
+            d = min(((decontam.edit_distance(item, t[a : a + len(item)], k), a) for a in range(len(t))), default=(k + 1, 0))
+            if d[0] <= k:
+                want[i, j] = d
+    found = decontam.Index([(j, " ".join(x)) for j, x in enumerate(items)]).matches([" ".join(t) for t in texts])
+    got = {(i, m["item_id"]): (m["edits"], m["start_word"]) for i, f in enumerate(found) for m in f}
+    assert len(want) > 50
+    assert set(got) <= set(want)
+    assert len(got) >= 0.95 * len(want)
+    assert all(got[x] >= want[x] for x in got)
+    assert sum(got[x] == want[x] for x in got) >= 0.9 * len(got)
+
+
+def test_very_long_items_and_many_blocks(spark):
+    rng = random.Random(19)
+    word = lambda: f"w{rng.randrange(9000)}"
+    long = [word() for _ in range(40_000)]
+    copy = [*long]
+    for at in rng.sample(range(40_000), 6000):
+        copy[at] = word()
+    items = [[word() for _ in range(rng.randrange(10, 40))] for _ in range(100)]
+    items[3] = items[50]  # equal items in different blocks
+    rows = [(0, " ".join([word(), *copy])), (1, " ".join(long[:20_000])), (2, None), (3, " ".join(items[7] + items[50]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([*((i, " ".join(x)) for i, x in enumerate(items)), (500, " ".join(long))], "item_id long, text string")
+    full = decontam.BLOCK_ITEMS
+    decontam.BLOCK_ITEMS = 1
+    try:
+        got = {r.doc_id: [(m.item_id, m.start_word, m.n_words) for m in r.leaks] for r in decontam.find_leaks(docs, bench).collect()}
+    finally:
+        decontam.BLOCK_ITEMS = full
+    assert got == {0: [(500, 1, 40_000)], 1: [], 2: [], 3: [(3, len(items[7]), len(items[50])), (7, 0, len(items[7])), (50, len(items[7]), len(items[50]))]}
+    big = decontam.Index([(1, " ".join(f"u{i}" for i in range(40_000)))])
+    assert sum(k.nbytes + o.nbytes for k, o in big.keys.values()) + big.pairs.nbytes < 12 << 20
+
+
 def test_leaks_edge_cases(spark, odd, empty):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, "the quick brown fox"), (None, "word"), (5, "the quick brown fox")], "item_id long, text string")
     rows = decontam.find_leaks(odd, bench, into="score").collect()
