@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left
 
 import numpy as np
@@ -17,6 +18,9 @@ from leafmill.llm.common import materialize, rebatched, small_batches, text_or_e
 #: Blocks of fewer words than this stay; a line of as many is a block by itself.
 BLOCK_WORDS = 20
 
+#: Texts whose hashes are held in Python at once.
+SPLIT_ROWS = 32
+
 #: A line has three words or more and ends after a newline, or after a sentence mark and one space, if
 #: three words follow: passages recur inside lines, and shorter sentences belong to what comes next.
 LINE = r"(?s)[ \t-\r]*+(?:[^ \t-\r]++[ \t-\r]++){2}[^ \t-\r].*?(?:(?:\n|[.!?] )(?=[ \t-\r]*+[^ \t-\r]++[ \t-\r]++[^ \t-\r]++[ \t-\r]++[^ \t-\r])|\z)|.++\z"
@@ -130,6 +134,23 @@ def _line_pairs(shared: list[tuple[list[int], list[int], int]]) -> tuple[np.ndar
     return pairs[:, 0], pairs[:, 1]
 
 
+def _blocks_with(runs: list[tuple[list[int], list[int], int]], least: int) -> list[tuple[int, int, int, bool]]:
+    """The blocks shared with one partner; runs that follow each other in step are one block without more ado."""
+    if all(len(at) == len(there) == 1 for at, there, _ in runs):
+        rows = sorted((at[0], there[0], n) for at, there, n in runs)
+        first, start, n = rows[0]
+        end = first + n
+        for p, q, n in rows:
+            if p - q != first - start or p > end:
+                break
+            end = max(end, p + n)
+        else:
+            return [(first, end - 1, start, False)]
+    p, q = _line_pairs(runs)
+    # Each pair lies in a run of enough words, whatever its own line has.
+    return common_blocks(p, q, np.full(len(p), least), least)
+
+
 def shared_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, key, cut, blocks): for documents with a block to delete, whether each of their lines goes, up to the last.
 
@@ -143,15 +164,19 @@ def shared_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", b
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), text_or_empty(text).alias("text"))
 
     def split(batches):
-        for batch in rebatched(batches):
-            found = [units_of(t, block_words) for t in batch.column("text").to_pylist()]
-            of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            units = [u for x in found for u in x]
-            h = np.array([u[0] for u in units], np.uint64).view(np.int64)
-            ends = np.cumsum([0, *(len(u[2]) for u in units)])
-            at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([x for u in units for x in u[2]], pa.int32()))
-            made = [pa.array(h), pa.array([u[1] for u in units], pa.int32()), at]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("key").take(of), *made], ["id", "key", "h", "n", "at"])
+        for batch in rebatched(batches, SPLIT_ROWS):
+            of, h, n, places, ends = array("i"), array("Q"), array("i"), array("i"), array("i", [0])
+            for i, t in enumerate(batch.column("text")):
+                for unit, lines, at in units_of(t.as_py(), block_words):
+                    of.append(i)
+                    h.append(unit)
+                    n.append(lines)
+                    places.extend(at)
+                    ends.append(len(places))
+            ints = [np.frombuffer(x, np.int32) if len(x) else np.empty(0, np.int32) for x in (of, n, places, ends)]
+            rows, made = pa.array(ints[0]), pa.array((np.frombuffer(h, np.uint64) if len(h) else np.empty(0, np.uint64)).view(np.int64))
+            at = pa.ListArray.from_arrays(pa.array(ints[3]), pa.array(ints[2]))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("key").take(rows), made, pa.array(ints[1]), at], ["id", "key", "h", "n", "at"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = materialize(texts.mapInArrow(split, f"id {kind}, key long, h long, n int, at array<int>"), "lines")
@@ -173,9 +198,7 @@ def shared_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", b
                     partners.setdefault((s["partner"], s["pkey"]), []).append((s["at"], s["there"], s["n"]))
                 blocks = []
                 for (partner, _), runs in sorted(partners.items(), key=lambda x: (x[0][0] is not None, x[0])):
-                    p, q = _line_pairs(runs)
-                    # Each pair lies in a run of enough words, whatever its own line has.
-                    blocks += [(partner, *b) for b in common_blocks(p, q, np.full(len(p), block_words), block_words)]
+                    blocks += [(partner, *b) for b in _blocks_with(runs, block_words)]
                 cut = np.zeros(max(b[2] for b in blocks) + 1, bool)
                 for _, a, b, _, _ in blocks:
                     cut[a : b + 1] = True
