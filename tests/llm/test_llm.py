@@ -764,18 +764,77 @@ def test_base_scores_equal_brute_force(request, which):
 
 
 def test_model_is_a_distribution_and_beats_the_base(spark):
-    got = maxent.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
-    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+    got = maxent.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").collect()
+    gain = (sum(r.score for r in got) - sum(r.base_score for r in got)) / sum(r.n_tokens for r in got)
+    assert gain > 0.08  # log10 a held-out token
     train = spark.createDataFrame([("a b a c",), ("b a",)], "text string")
     model, counts = maxent.fit(train)
     lp = model.log_classes([np.zeros(3, np.int64)] * len(maxent.FEATURES))
     assert np.exp(lp).sum(axis=1) == pytest.approx([1, 1, 1], abs=1e-5)
     by = collections.defaultdict(float)
     for r in counts.collect():
-        by[r.cls] += (r.n + 1) / 10 ** model.log_size[r.cls]
+        by[model.head.get(bytes(r.token), (0, maxent.class_of(bytes(r.token))))[1]] += (r.n + 1) / 10 ** model.log_size[model.head[bytes(r.token)][1]]
     assert all(p < 1 for p in by.values())  # the rest of each class is for a word never seen
 
 
+def test_scores_equal_a_plain_model(spark, docs, monkeypatch):
+    """The score column against the model's formula token by token, with counts that have to be joined."""
+    monkeypatch.setattr(maxent, "HEAD_SHARE", 300)
+    frame = docs.where("doc_id < 120")
+    rows = [(r.doc_id, r.text) for r in frame.collect()]
+    train = spark.createDataFrame([(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], "doc_id long, text string")
+    counts = collections.Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in maxent.tokens_of(t))
+    model, table = maxent.fit(train)
+    assert {bytes(r.token): r.n for r in table.collect()} == counts
+    assert 0 < len(model.head) < len(counts) / 10
+    spelled = table.select("token", maxent._class_column(F.col("token")).alias("c")).collect()
+    assert all(r.c == maxent.class_of(bytes(r.token)) for r in spelled)
+    sizes = collections.Counter()
+    for w, n in counts.items():
+        sizes[model.head[w][1] if w in model.head else maxent.class_of(w)] += n + 1
+    assert [round(10 ** x) for x in model.log_size] == [sizes[k] + 1 for k in range(maxent.CLASSES)]
+    words = maxent.Words(model.head)
+    want = {}
+    for i, t in rows:
+        toks, total = maxent.tokens_of(t), 0.0
+        for k, w in enumerate(toks):
+            ids = np.array([words[x] if x else 0 for x in ([b""] * 4 + toks)[k : k + 5]])
+            words.learn()
+            c = maxent._contexts(ids, np.array([4]), words, model.buckets)
+            cls = int(words.cls[words[w]])
+            total += model.log_classes(c)[0, cls] / math.log(10) + math.log10(counts[w] + 1) - model.log_size[cls]
+        want[i] = total
+    got = {r.doc_id: r.score for r in maxent.score(frame).collect()}
+    assert got == {i: pytest.approx(x, rel=1e-4, abs=1e-3) for i, x in want.items()}
+
+
+def test_updates_climb_the_likelihood(spark):
+    rng = random.Random(23)
+    # Two languages: what comes next depends on the words before.
+    texts = [" ".join(rng.choice(["le", "la", "de", "que"] if i % 2 else ["the", "of", "and", "to"]) for _ in range(60)) for i in range(200)]
+    counts = collections.Counter(w for t in texts for w in maxent.tokens_of(t))
+    model = maxent.start_model(list(counts.items()), {})
+
+    def mean():
+        words, total, n = maxent.Words(model.head), 0.0, 0
+        for ids, places, _ in maxent._pieces(texts, words):
+            cls = words.cls[ids[places]]
+            total += model.log_classes(maxent._contexts(ids, places, words, model.buckets))[np.arange(len(places)), cls].sum()
+            n += len(places)
+        return total / n
+
+    values = [mean()]
+    for turn in range(4):
+        grid = np.zeros((1 + maxent.CLASSES, len(model.weights) + 1))
+        model.rest(texts, maxent.Words(model.head), grid)
+        model.update(grid, turn)
+        values.append(mean())
+    assert values == sorted(values)
+    assert values[-1] - values[0] > 0.4
+    share = np.exp(model.log_classes([np.arange(5) * k % len(model.weights) for k in range(len(maxent.FEATURES))]))
+    assert share.sum(axis=1) == pytest.approx(np.ones(5), abs=1e-5)
+
+
 # Pipeline ------------------------------------------------------------------------------------------
 
 
