@@ -549,6 +549,45 @@ def test_sharding_keeps_its_law(spark, hot):
         assert len(of["hot"]) <= math.ceil(hot / (len(rows) // 16) / 0.9) + 2
 
 
+@pytest.mark.parametrize("linked", [0.4, 1.0])
+def test_labels_spread_under_quotas_and_cuts_fall(spark, linked):
+    """With every document linked the labels are tight; even so no label passes its quota by more than chance."""
+    rng = random.Random(3)
+    rows, unit = [], 0
+    while len(rows) < 6000 * linked:
+        unit += 1
+        rows += [(unit, rng.randrange(16)) for _ in range(rng.choice([2, 2, 3, 5, 9]))]
+    quota = 6000 // 16
+    labels, cuts = sharding.propagate(spark.createDataFrame(rows, "unit long, start int"), quota, rounds=6)
+    of = {(r.unit, r.start): r.label for r in labels.collect()}
+    got = [(u, of[u, s]) for u, s in rows]
+    by = collections.defaultdict(list)
+    for u, label in got:
+        by[u].append(label)
+    start = collections.defaultdict(list)
+    for u, s in rows:
+        start[u].append(s)
+    pairs = lambda g: sum(a != b for x in g.values() for i, a in enumerate(x) for b in x[:i])
+    assert cuts[0] == pairs(start)
+    assert cuts[-1] == pairs(by)
+    assert all(a >= b for a, b in zip(cuts, cuts[1:], strict=False))
+    assert len(cuts) > (1 if linked < 1 else 2)
+    assert cuts[-1] <= (0.01 if linked < 1 else 0.25) * cuts[0]
+    sizes = collections.Counter(label for _, label in got)
+    assert max(sizes.values()) <= 1.1 * quota
+
+
+def test_sharding_of_odd_rows(spark, odd):
+    """Nulls, long and empty texts, repeated rows and clashing columns."""
+    frame = odd.withColumns({"shard": F.lit("s"), "slot": F.lit(None).cast("string"), "unit": F.lit(1), "g": F.lit("g"), "n": F.lit(2)})
+    got = sharding.shard_documents(frame).collect()
+    want = collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in ODD)
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    sizes = collections.Counter(r.shard for r in got)
+    assert max(sizes.values()) == 1
+    assert all(r.slot == 0 for r in got)
+
+
 # 8: line dedup -------------------------------------------------------------------------------------
 
 
