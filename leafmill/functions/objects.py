@@ -14,6 +14,8 @@ _SKIP = re.compile(rb"(?:[\0\t\n\f\r ]+|%[^\r\n]*)*")
 _REF = re.compile(rb"(\d+)[\0\t\n\f\r ]+(\d+)[\0\t\n\f\r ]+R(?![A-Za-z0-9])")
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)")
 _HEADER = re.compile(rb"%PDF-(\d\.\d)")
+_START = re.compile(rb"startxref\s+(\d+)")
+_COUNT = re.compile(rb"/Count\s+(\d+)")
 _OBJECT = re.compile(rb"(?<![0-9])(\d+)[\0\t\n\f\r ]+(\d+)[\0\t\n\f\r ]+obj\b")
 
 
@@ -68,28 +70,45 @@ def escape(body: bytes) -> bytes:
 
 
 def read_value(data: bytes, at: int) -> tuple[object, int]:
-    """The value that begins at or after ``at``, and where it ends."""
-    at = _SKIP.match(data, at).end()
-    lead = data[at : at + 1]
-    if not lead:
-        raise ValueError("no value")
-    if data.startswith(b"<<", at):
-        out, at = {}, at + 2
-        while True:
-            at = _SKIP.match(data, at).end()
-            if data.startswith(b">>", at) or at >= len(data):
-                return out, at + 2
-            key, at = read_value(data, at)
-            value, at = read_value(data, at)
-            out[str(key)] = value
-    if lead == b"[":
-        items, at = [], at + 1
-        while True:
-            at = _SKIP.match(data, at).end()
-            if data[at : at + 1] in (b"]", b""):
-                return items, at + 1
-            value, at = read_value(data, at)
-            items.append(value)
+    """The value that begins at or after ``at``, and where it ends; values may be nested to any depth.
+
+    What is open where the data end is closed there; a key without a value has null.
+    """
+    open_: list[list] = []  # a list or dictionary, and the key that waits for its value
+    while True:
+        at = _SKIP.match(data, at).end()
+        lead = data[at : at + 1]
+        if open_ and (not lead or (lead == b"]" and isinstance(open_[-1][0], list)) or (lead == b">" and isinstance(open_[-1][0], dict) and data.startswith(b">>", at))):
+            value, key = open_.pop()
+            if key is not None:
+                value[key] = None
+            at += 2 if isinstance(value, dict) else 1
+        elif not lead:
+            raise ValueError("no value")
+        elif data.startswith(b"<<", at):
+            open_.append([{}, None])
+            at += 2
+            continue
+        elif lead == b"[":
+            open_.append([[], None])
+            at += 1
+            continue
+        else:
+            value, at = _read_plain(data, at, lead)
+        if not open_:
+            return value, at
+        held = open_[-1]
+        if isinstance(held[0], list):
+            held[0].append(value)
+        elif held[1] is None:
+            held[1] = "" if isinstance(value, (list, dict)) else str(value)
+        else:
+            held[0][held[1]] = value
+            held[1] = None
+
+
+def _read_plain(data: bytes, at: int, lead: bytes) -> tuple[object, int]:
+    """The value that begins at ``at`` with the byte ``lead``, if it is neither a list nor a dictionary."""
     if lead == b"/":
         m = _TOKEN_END.search(data, at + 1)
         end = m.start() if m else len(data)
@@ -173,6 +192,16 @@ def sections(numbers: list[int]) -> list[tuple[int, int]]:
     return runs
 
 
+def last_startxref(content: bytes) -> int | None:
+    """The number after the last startxref that has one, searched from the end."""
+    at = content.rfind(b"startxref")
+    while at >= 0:
+        if m := _START.match(content, at):
+            return int(m[1])
+        at = content.rfind(b"startxref", 0, at)
+    return None
+
+
 @dataclass
 class Entry:
     obj: int
@@ -195,13 +224,12 @@ class File:
     errors: list[str] = field(default_factory=list)
     all_entries: list[Entry] = field(default_factory=list)
     _seen: dict[int, object] = field(default_factory=dict)
-    _packed: dict[int, list[tuple[int, object]]] = field(default_factory=dict)
+    _packed: dict[int, dict[int, object]] = field(default_factory=dict)
 
     def __post_init__(self):
         m = _HEADER.search(self.content[:8192])
         self.version = m[1].decode() if m else "1.3"
-        found = re.findall(rb"startxref\s+(\d+)", self.content)
-        at, visited, section = int(found[-1]) if found else None, set(), 0
+        at, visited, section = last_startxref(self.content), set(), 0
         while at is not None and at not in visited and 0 <= at < len(self.content):
             visited.add(at)
             try:
@@ -295,31 +323,35 @@ class File:
             e = self.entries.get(obj)
             if e and not e.free:
                 if e.objstm is not None:
-                    packed = dict(self._unpack(e.objstm))
-                    self._seen[obj] = packed.get(obj)
+                    self._seen[obj] = self._unpack(e.objstm).get(obj)
                 elif m := _OBJECT.match(self.content, _SKIP.match(self.content, e.offset).end() if e.offset < len(self.content) else e.offset):
                     self._seen[obj] = self._body(m.end())
         return self._seen[obj]
 
-    def _unpack(self, objstm: int) -> list[tuple[int, object]]:
+    def _unpack(self, objstm: int) -> dict[int, object]:
         if objstm not in self._packed:
-            s, out = self.get(objstm), []
+            self._packed[objstm] = out = {}
+            s = self.get(objstm)
             if isinstance(s, Stream):
                 data, first, n = s.data(), self.resolve(s.head.get("First")), self.resolve(s.head.get("N"))
                 numbers = [int(x) for x in data[:first].split()]
                 pairs = [*zip(numbers[::2], numbers[1::2], strict=False)][:n]
                 if any(a[1] >= b[1] for a, b in zip(pairs, pairs[1:], strict=False)):  # all numbers, then all offsets
                     pairs = [*zip(numbers[:n], numbers[n : 2 * n], strict=False)]
-                out = [(obj, read_value(data, first + off)[0]) for obj, off in pairs]
-            self._packed[objstm] = out
+                out |= {obj: read_value(data, first + off)[0] for obj, off in pairs if first + off < len(data)}
         return self._packed[objstm]
 
     def resolve(self, value: object) -> object:
-        for _ in range(32):
-            if not isinstance(value, Ref):
-                return value
+        """The value at the end of a chain of references of any length; None for one that comes back to itself."""
+        if not isinstance(value, Ref):
+            return value
+        passed: set[int] = set()
+        while isinstance(value, Ref):
+            if value.obj in passed:
+                return None
+            passed.add(value.obj)
             value = self.get(value.obj)
-        return None
+        return value
 
     def pages(self) -> Iterator[tuple[int, dict, dict]]:
         """(object number, page dictionary, what it inherits) in tree order; a node is visited once."""
@@ -341,24 +373,44 @@ class File:
             else:
                 open_ += [(k, here | {"Parent": number}) for k in reversed(kids)]
 
-    def contents(self, page: dict) -> list[bytes]:
+    def streams(self, page: dict) -> list[Stream]:
+        """The page's content streams, as they are stored."""
         value = self.resolve(page.get("Contents"))
-        return [s.data() for s in map(self.resolve, value if isinstance(value, list) else [value]) if isinstance(s, Stream)]
+        return [s for s in map(self.resolve, value if isinstance(value, list) else [value]) if isinstance(s, Stream)]
+
+    def contents(self, page: dict) -> list[bytes]:
+        return [s.data() for s in self.streams(page)]
+
+    def page_counts(self) -> tuple[int, int, int]:
+        """Pages of the tree; by the rule of splitting (the tree, else /Count, else the root's kids); and by that of merging.
+
+        Merging trusts /Count of the root, then the first /Count in the bytes, then the tree, then takes one page.
+        """
+        tree = sum(1 for _ in self.pages())
+        root = self.resolve(self.trailer.get("Root"))
+        top = self.resolve(root.get("Pages")) if isinstance(root, dict) else None
+        named, kids = (self.resolve(top.get(k)) if isinstance(top, dict) else None for k in ("Count", "Kids"))
+        named = named if isinstance(named, int) else None
+        split = tree or (named if named is not None else len(kids) if isinstance(kids, list) else 0)
+        first = _COUNT.search(self.content)
+        merge = (named or 0) if (named or 0) > 0 else int(first[1]) if first and int(first[1]) > 0 else tree or 1
+        return tree, split, merge
 
 
 def references(value: object, key: str = "") -> Iterator[tuple[str, Ref]]:
-    """(path of keys, reference) of every reference in a value."""
-    match value:
-        case Ref():
-            yield key, value
-        case dict():
-            for k, v in value.items():
-                yield from references(v, f"{key}/{k}")
-        case list():
-            for i, v in enumerate(value):
-                yield from references(v, f"{key}[{i}]")
-        case Stream():
-            yield from references(value.head, key)
+    """(path of keys, reference) of every reference in a value, nested to any depth."""
+    open_ = [(key, value)]
+    while open_:
+        key, value = open_.pop()
+        match value:
+            case Ref():
+                yield key, value
+            case dict():
+                open_ += [(f"{key}/{k}", v) for k, v in reversed(value.items()) if isinstance(v, (Ref, dict, list))]
+            case list():
+                open_ += [(f"{key}[{i}]", v) for i, v in reversed([*enumerate(value)]) if isinstance(v, (Ref, dict, list))]
+            case Stream():
+                open_.append((key, value.head))
 
 
 def plain(value: object) -> object:

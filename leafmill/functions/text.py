@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from functools import lru_cache
 
 from leafmill.functions.objects import File, Stream
 
@@ -16,6 +17,8 @@ _FONT = re.compile(rb"/([A-Za-z0-9]+)\s+[\d.]+\s+Tf")
 _MOVES = re.compile(rb"T\*|Td|TD|Tm")
 #: Bytes that an operator is taken to be long when the gap to the next one is searched for moves.
 OPERATOR_BYTES = 50
+#: Unicode has no more characters, so a longer range of codes is no range of characters.
+_MOST_CODES = 0x10FFFF
 _TRIM = " \t\n\r\0\x0b"
 
 
@@ -28,8 +31,9 @@ def literal_text(body: bytes) -> str:
 
 
 def units_text(data: bytes) -> str:
-    """UTF-16 code units; surrogates are not combined."""
-    return "".join(chr(data[i] << 8 | data[i + 1]) if i + 1 < len(data) else chr(data[i]) for i in range(0, len(data), 2))
+    """UTF-16 code units; halves of a character that stand alone are left out, a byte too many is a character."""
+    whole = len(data) & ~1
+    return data[:whole].decode("utf-16-be", "ignore") + data[whole:].decode("latin-1")
 
 
 def hex_text(digits: bytes, cmap: dict[tuple[int, int], str] | None = None) -> str:
@@ -53,6 +57,12 @@ def hex_text(digits: bytes, cmap: dict[tuple[int, int], str] | None = None) -> s
     return "".join(out)
 
 
+@lru_cache(maxsize=64)
+def _parsed_cmap(text: bytes) -> dict[tuple[int, int], str]:
+    """The maps of the fonts seen last: pages of a file share them."""
+    return parse_cmap(text)
+
+
 def parse_cmap(text: bytes) -> dict[tuple[int, int], str]:
     """(digits, code) to text: single characters first, then ranges, which overwrite them."""
     out: dict[tuple[int, int], str] = {}
@@ -71,7 +81,9 @@ def parse_cmap(text: bytes) -> dict[tuple[int, int], str]:
                 for code, one in zip(range(first, last + 1), re.findall(word, many), strict=False):
                     out[len(a), code] = target(one)
             else:
-                for code in range(first, min(last, first + 0xFFFF) + 1):
+                if last - first > _MOST_CODES:  # no text can hold them all: a damaged range
+                    continue
+                for code in range(first, last + 1):
                     out[len(a), code] = target(b"%0*x" % (len(to), int(to, 16) + code - first))
     return out
 
@@ -126,7 +138,7 @@ def fonts_of(file: File, resources: object) -> dict[str, dict]:
         font = file.resolve(ref)
         cmap = file.resolve(font.get("ToUnicode")) if isinstance(font, dict) else None
         if isinstance(cmap, Stream):
-            out[name] = parse_cmap(cmap.data())
+            out[name] = _parsed_cmap(cmap.data())
     return out
 
 

@@ -3,55 +3,127 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from leafmill.functions import assemble
-from leafmill.functions.objects import File, Stream, plain, references
+from leafmill.functions.objects import File, Ref, Stream, plain, references
 from leafmill.functions.text import join_operators, page_text, text_operators
 from leafmill.functions.text import fonts_of
 
-# Files are read whole, so few of them go to Python at a time.
-BATCH_FILES = "16"
+#: Files are read whole, so few of them go to Python at a time; texts to make files of are smaller.
+BATCH_FILES, BATCH_TEXTS = 16, 256
 
 
-def _scan(files: DataFrame, schema: str, rows_of, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Rows of ``rows_of(file)`` for each file of (doc_id, content), after the kept columns; bad files give what they can."""
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_FILES)
+def _limit_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_TEXTS rows; a smaller setting stays, so the order of calls does not matter."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_TEXTS:
+        spark.conf.set(name, str(BATCH_TEXTS))
+
+
+def _in_parts(batches, rows: int):
+    """The same rows in batches of at most ``rows``."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _scan(files: DataFrame, schema: str, rows_of, keep: tuple[str, ...] = ("doc_id",), failed=None) -> DataFrame:
+    """Rows of ``rows_of(file)`` for each file of (doc_id, content), after the kept columns.
+
+    A file that cannot be read gives the rows up to there, and then ``failed(error)`` if that is given; it
+    never fails the job. Null content is the empty file.
+    """
+    _limit_batches(files.sparkSession)
     rows = files.select(*keep, "content")
     full = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keep), schema])
-    names = [c.strip().split(" ")[0] for c in schema.split(", ")]
-
     target = to_arrow_schema(StructType.fromDDL(schema))
 
+    def one(content: bytes):
+        try:
+            yield from rows_of(content)
+        except Exception as e:  # whatever the bytes led to
+            if failed:
+                yield failed(f"{type(e).__name__}: {e}")
+
     def run(batches):
-        for batch in batches:
+        for batch in _in_parts(batches, BATCH_FILES):
             at, out = [], []
-            for i, content in enumerate(batch.column("content").to_pylist()):
-                for row in rows_of(content or b""):
+            for i, content in enumerate(batch.column("content")):
+                for row in one(content.as_py() or b""):
                     at.append(i)
                     out.append(row)
             kept = [batch.column(k).take(pa.array(at, pa.int32())) for k in keep]
-            made = [pa.array([r.get(n) for r in out], target.field(n).type) for n in names]
-            yield pa.RecordBatch.from_arrays([*kept, *made], [*keep, *names])
+            made = [pa.array([r.get(n) for r in out], target.field(n).type) for n in target.names]
+            yield pa.RecordBatch.from_arrays([*kept, *made], [*keep, *target.names])
 
     return rows.mapInArrow(run, full)
 
 
 def pdf_documents(files: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, version, size, root_obj, info_obj, encrypted, error): one row for each file."""
+    """(doc_id, n_bytes, version, size, root_obj, info_obj, encrypted, n_pages, max_obj, error): one row for each file.
+
+    ``n_pages`` counts the tree's pages, 0 if there are none; ``error`` says what is wrong with the file's tables.
+    """
 
     def rows(content: bytes):
         f = File(content)
         ref = lambda k: getattr(f.trailer.get(k), "obj", None)
         error = None if f.entries else "no objects"
-        yield {"n_bytes": len(content), "version": f.version, "size": f.trailer.get("Size"), "root_obj": ref("Root"), "info_obj": ref("Info"), "encrypted": "Encrypt" in f.trailer, "error": "; ".join(f.errors) or error}
+        size = f.trailer.get("Size")
+        yield {
+            "n_bytes": len(content), "version": f.version, "size": size if isinstance(size, int) else None, "root_obj": ref("Root"), "info_obj": ref("Info"), "encrypted": "Encrypt" in f.trailer,
+            "n_pages": sum(1 for _ in f.pages()), "max_obj": max(f.entries, default=0), "error": "; ".join(f.errors) or error,
+        }
+
+    schema = "n_bytes long, version string, size long, root_obj long, info_obj long, encrypted boolean, n_pages long, max_obj long, error string"
+    return _scan(files, schema, rows, failed=lambda e: {"n_pages": 0, "error": e})
 
-    return _scan(files, "n_bytes long, version string, size long, root_obj long, info_obj long, encrypted boolean, error string", rows)
+
+def pdf_page_counts(files: DataFrame) -> DataFrame:
+    """(doc_id, n_pages, n_split, n_merge): the tree's pages, and the counts by the rules of splitting and of merging.
+
+    Splitting falls back on /Count and then on the number of kids; merging trusts /Count, then the first
+    /Count in the bytes, then the tree, and at last takes one page.
+    """
+
+    def rows(content: bytes):
+        yield dict(zip(("n_pages", "n_split", "n_merge"), File(content).page_counts(), strict=True))
+
+    return _scan(files, "n_pages long, n_split long, n_merge long", rows, failed=lambda _: {"n_pages": 0, "n_split": 0, "n_merge": 1})
+
+
+def pdf_errors(files: DataFrame) -> DataFrame:
+    """(doc_id, part, page_no, obj, error): a row for everything in a file that cannot be read; sound files give none."""
+
+    def rows(content: bytes):
+        f = File(content)
+        if not f.entries:
+            yield {"part": "file", "error": "no objects"}
+        for e in f.errors:
+            yield {"part": "xref", "error": e}
+        if "Encrypt" in f.trailer:
+            yield {"part": "file", "error": "encrypted"}
+        for n, e in sorted(f.entries.items()):
+            try:
+                if f.get(n) is None and not e.free:
+                    yield {"part": "object", "obj": n, "error": "missing"}
+            except Exception as err:
+                yield {"part": "object", "obj": n, "error": f"{type(err).__name__}: {err}"}
+        for i, (n, page, _) in enumerate(f.pages(), 1):
+            for stream in f.streams(page):
+                try:
+                    stream.data()
+                except Exception as err:
+                    yield {"part": "page", "page_no": i, "obj": n, "error": f"{type(err).__name__}: {err}"}
+
+    return _scan(files, "part string, page_no int, obj long, error string", rows, failed=lambda e: {"part": "file", "error": e})
 
 
 def pdf_xref(files: DataFrame) -> DataFrame:
@@ -77,12 +149,16 @@ def pdf_objects(files: DataFrame) -> DataFrame:
     def rows(content: bytes):
         f = File(content)
         for n, e in sorted(f.entries.items()):
-            v = f.get(n)
-            if e.free or v is None:
+            try:
+                v = None if e.free else f.get(n)
+                text = json.dumps(plain(v))
+            except Exception:  # this object only; pdf_errors names it
+                continue
+            if v is None:
                 continue
             head = v.head if isinstance(v, Stream) else v if isinstance(v, dict) else {}
             kind, sub = f.resolve(head.get("Type")), f.resolve(head.get("Subtype"))
-            yield {"obj": n, "gen": e.gen, "type": kind and str(kind), "subtype": sub and str(sub), "value": json.dumps(plain(v)), "filters": v.filters if isinstance(v, Stream) else None, "stream": v.raw if isinstance(v, Stream) else None}
+            yield {"obj": n, "gen": e.gen, "type": kind and str(kind), "subtype": sub and str(sub), "value": text, "filters": v.filters if isinstance(v, Stream) else None, "stream": v.raw if isinstance(v, Stream) else None}
 
     return _scan(files, "obj long, gen int, type string, subtype string, value string, filters array<string>, stream binary", rows)
 
@@ -93,9 +169,12 @@ def pdf_refs(files: DataFrame) -> DataFrame:
     def rows(content: bytes):
         f = File(content)
         for n, e in sorted(f.entries.items()):
-            if not e.free:
-                for i, (key, ref) in enumerate(references(f.get(n))):
-                    yield {"src_obj": n, "key": key, "ordinal": i, "dst_obj": ref.obj}
+            try:
+                found = [] if e.free else [*references(f.get(n))]
+            except Exception:  # this object only; pdf_errors names it
+                continue
+            for i, (key, ref) in enumerate(found):
+                yield {"src_obj": n, "key": key, "ordinal": i, "dst_obj": ref.obj}
 
     return _scan(files, "src_obj long, key string, ordinal int, dst_obj long", rows)
 
@@ -114,27 +193,65 @@ def pdf_pages(files: DataFrame) -> DataFrame:
     return _scan(files, "page_no int, obj long, parent_obj long, mediabox array<double>, rotate int", rows)
 
 
-def pdf_page_text(files: DataFrame, first: int = 1, last: int | None = None) -> DataFrame:
-    """(doc_id, page_no, text): the trimmed text of the pages first to last; only those are decoded.
+def _text_of(f: File, page: dict, inherited: dict) -> str:
+    """A page's text, empty if the document is encrypted or a stream cannot be decoded."""
+    if "Encrypt" in f.trailer:
+        return ""
+    try:
+        return page_text(f, page, inherited)
+    except Exception:  # this page only; pdf_errors names it
+        return ""
+
 
-    An encrypted document's pages have empty texts, as has a page whose streams cannot be decoded.
+def pdf_page_text(files: DataFrame, first: int = 1, last: int | None = None, only: Sequence[int] | None = None, tail: int | None = None) -> DataFrame:
+    """(doc_id, page_no, text): the trimmed text of pages; only those asked for are decoded.
+
+    ``first`` to ``last`` is cut to the pages that there are; ``only`` names a set of pages, ``tail`` the
+    number of pages from the end. An encrypted document's pages have empty texts, as has a page whose
+    streams cannot be decoded.
     """
+    wanted = None if only is None else frozenset(only)
+    stop = last if wanted is None else max(wanted, default=0) if last is None else min(last, max(wanted, default=0))
 
     def rows(content: bytes):
         f = File(content)
-        for i, (_, page, inherited) in enumerate(f.pages(), 1):
-            if last is not None and i > last:
+        pages = enumerate(f.pages(), 1)
+        if tail is not None:
+            pages = [*pages]
+            pages = pages[max(0, len(pages) - tail) :]
+        for i, (_, page, inherited) in pages:
+            if stop is not None and i > stop:
                 break
-            if i >= first:
-                try:
-                    text = "" if "Encrypt" in f.trailer else page_text(f, page, inherited)
-                except (ValueError, KeyError, TypeError):
-                    text = ""
-                yield {"page_no": i, "text": text}
+            if i >= first and (wanted is None or i in wanted):
+                yield {"page_no": i, "text": _text_of(f, page, inherited)}
 
     return _scan(files, "page_no int, text string", rows)
 
 
+def pdf_one_page(files: DataFrame, page_no: int) -> DataFrame:
+    """(doc_id, text): the text of one page of each file, empty where it has no such page."""
+
+    def rows(content: bytes):
+        f = File(content)
+        yield {"text": next((_text_of(f, page, inherited) for i, (_, page, inherited) in enumerate(f.pages(), 1) if i == page_no), "")}
+
+    return _scan(files, "text string", rows, failed=lambda _: {"text": ""})
+
+
+def pdf_text(files: DataFrame) -> DataFrame:
+    """(doc_id, text, n_pages, n_bytes): the whole text of each file, read in one pass; empty pages are left out.
+
+    Every file has a row; one without text, or one that cannot be read, has the empty text.
+    """
+
+    def rows(content: bytes):
+        f = File(content)
+        texts = [_text_of(f, page, inherited) for _, page, inherited in f.pages()]
+        yield {"text": "\n".join(t for t in texts if t), "n_pages": len(texts), "n_bytes": len(content)}
+
+    return _scan(files, "text string, n_pages long, n_bytes long", rows, failed=lambda _: {"text": "", "n_pages": 0})
+
+
 def pdf_text_ops(files: DataFrame) -> DataFrame:
     """(doc_id, page_no, stream_no, pos, op, raw, active_font, text) of every text-showing operator."""
 
@@ -142,28 +259,124 @@ def pdf_text_ops(files: DataFrame) -> DataFrame:
         f = File(content)
         for i, (_, page, inherited) in enumerate(f.pages(), 1):
             fonts = fonts_of(f, inherited.get("Resources"))
-            for k, c in enumerate(f.contents(page)):
-                for op in text_operators(c, fonts):
+            for k, stream in enumerate(f.streams(page)):
+                try:
+                    ops = text_operators(stream.data(), fonts)
+                except Exception:  # this stream only; pdf_errors names it
+                    continue
+                for op in ops:
                     yield op | {"page_no": i, "stream_no": k}
 
     return _scan(files, "page_no int, stream_no int, pos int, op string, raw binary, active_font string, text string", rows)
 
 
-def document_text(page_texts: DataFrame) -> DataFrame:
-    """(doc_id, text): the non-empty page texts in page order with newlines between."""
-    full = page_texts.where("text <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
-    return full.select("doc_id", F.array_join(F.col("p.text"), "\n").alias("text"))
+def pdf_contents(files: DataFrame) -> DataFrame:
+    """(doc_id, page_no, stream_no, content, error): the decoded content streams of every page."""
+
+    def rows(content: bytes):
+        f = File(content)
+        for i, (_, page, _) in enumerate(f.pages(), 1):
+            for k, stream in enumerate(f.streams(page)):
+                try:
+                    yield {"page_no": i, "stream_no": k, "content": stream.data()}
+                except Exception as e:
+                    yield {"page_no": i, "stream_no": k, "error": f"{type(e).__name__}: {e}"}
+
+    return _scan(files, "page_no int, stream_no int, content binary, error string", rows)
+
+
+def pdf_fonts(files: DataFrame) -> DataFrame:
+    """(doc_id, page_no, name, obj, subtype, base_font, encoding, code_map): the fonts that each page's resources name.
+
+    ``code_map`` maps character codes to texts; null for a font without one.
+    """
+
+    def rows(content: bytes):
+        f = File(content)
+        for i, (_, _, inherited) in enumerate(f.pages(), 1):
+            resources = f.resolve(inherited.get("Resources"))
+            named = f.resolve(resources.get("Font")) if isinstance(resources, dict) else None
+            maps = fonts_of(f, resources)
+            for name, ref in named.items() if isinstance(named, dict) else ():
+                font = f.resolve(ref)
+                font = font if isinstance(font, dict) else {}
+                kind, base, encoding = (f.resolve(font.get(k)) for k in ("Subtype", "BaseFont", "Encoding"))
+                codes = maps.get(name)
+                yield {
+                    "page_no": i, "name": name, "obj": getattr(ref, "obj", None), "subtype": kind and str(kind), "base_font": base and str(base),
+                    "encoding": str(encoding) if isinstance(encoding, str) else None, "code_map": None if codes is None else [(code, text) for (_, code), text in codes.items()],
+                }
+
+    return _scan(files, "page_no int, name string, obj long, subtype string, base_font string, encoding string, code_map map<bigint,string>", rows)
+
+
+def pdf_used_names(files: DataFrame) -> DataFrame:
+    """(doc_id, page_no, kind, name): the fonts and XObjects that each page's operators name, forms included.
+
+    A page with a form that has resources of its own has a row with a null name: names may mean other
+    things there, so that splitting keeps all its resources.
+    """
+
+    def rows(content: bytes):
+        f = File(content)
+        for i, (_, page, inherited) in enumerate(f.pages(), 1):
+            used = assemble.used_names(f, page, inherited.get("Resources"))
+            if used is None:
+                yield {"page_no": i, "kind": "all"}
+            else:
+                yield from ({"page_no": i, "kind": kind, "name": n} for kind, names in used.items() for n in sorted(names))
+
+    return _scan(files, "page_no int, kind string, name string", rows)
+
+
+def pdf_reachable(files: DataFrame) -> DataFrame:
+    """(doc_id, obj): the objects that can be reached from the catalog, each once, in one pass over the file."""
+
+    def rows(content: bytes):
+        f = File(content)
+        open_ = [r.obj for r in [f.trailer.get("Root")] if isinstance(r, Ref)]
+        seen = set(open_)
+        while open_:
+            n = open_.pop()
+            yield {"obj": n}
+            for _, ref in references(f.get(n)):
+                if ref.obj not in seen:
+                    seen.add(ref.obj)
+                    open_.append(ref.obj)
+
+    return _scan(files, "obj long", rows)
+
+
+def buffered(n_bytes: Column, pages_wanted: Column | None = None, n_pages: Column | None = None, reuse: int = 1) -> Column:
+    """Whether a file is better read whole: it is small, is used again, or most or all of its pages are wanted."""
+    choice = (n_bytes < 5 * 1024 * 1024) | F.lit(reuse > 1)
+    if pages_wanted is None or n_pages is None:
+        return choice | F.lit(pages_wanted is None)
+    return choice | (pages_wanted * 2 > n_pages)
+
+
+def document_text(page_texts: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text): the non-empty page texts in page order with newlines between, the empty text without any.
+
+    Documents without pages have no rows in ``page_texts``; they have the empty text if ``documents`` names them.
+    """
+    kept = F.collect_list(F.when(F.col("text") != "", F.struct("page_no", "text")))
+    full = page_texts.groupBy("doc_id").agg(F.array_sort(kept).alias("p"))
+    texts = full.select("doc_id", F.array_join(F.col("p.text"), "\n").alias("text"))
+    if documents is None:
+        return texts
+    return documents.select("doc_id").join(texts, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def page_counts(pages: DataFrame, documents: DataFrame) -> DataFrame:
-    """(doc_id, n_pages): 0 for a document without pages."""
+    """(doc_id, n_pages): 0 for a document without pages. ``pdf_documents`` counts in its own pass over the files."""
     n = pages.groupBy("doc_id").agg(F.count("*").alias("n"))
     return documents.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_pages"))
 
 
 def create(texts: DataFrame, text: str = "text", compress: bool = True, packed: bool = False) -> DataFrame:
     """(doc_id, content): a file for each text, one page for each of its lines."""
-    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    _limit_batches(texts.sparkSession)
     rows = texts.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches):
@@ -174,49 +387,78 @@ def create(texts: DataFrame, text: str = "text", compress: bool = True, packed:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, content binary")
 
 
-def split_pages(files: DataFrame, first: int = 1, last: int | None = None) -> DataFrame:
-    """(doc_id, page_no, content): a file for each page, with the resources that the page uses."""
+def split_pages(files: DataFrame, first: int = 1, last: int | None = None, strict: bool = False) -> DataFrame:
+    """(doc_id, page_no, content, error): a file for each page, with the resources that the page uses.
+
+    A page that cannot be written has null content and says why. With ``strict`` a file that has not all
+    pages from ``first`` to ``last`` gives a row for the first missing one, with the error.
+    """
 
     def rows(content: bytes):
         f = File(content)
+        i = 0
         for i, (_, page, inherited) in enumerate(f.pages(), 1):
-            if i >= first and (last is None or i <= last):
-                yield {"page_no": i, "content": assemble.single_page(f, page, inherited)}
+            if last is not None and i > last:
+                return
+            if i >= first:
+                try:
+                    yield {"page_no": i, "content": assemble.single_page(f, page, inherited)}
+                except Exception as e:
+                    yield {"page_no": i, "error": f"{type(e).__name__}: {e}"}
+        missing = max(i + 1, first)
+        if strict and missing <= (first if last is None else last):
+            yield {"page_no": missing, "error": f"no page {missing}: the file has {i}"}
 
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_FILES)
-    inner = files.select("doc_id", F.col("content"))
-    return _scan(inner, "page_no int, content binary", rows)
+    return _scan(files, "page_no int, content binary, error string", rows, failed=lambda e: {"error": e})
 
 
 def merge(files: DataFrame, group: str, order: str) -> DataFrame:
-    """(group, content, n_inputs): the files of each group merged in the order of ``order``.
+    """(group, content, n_inputs, error): the files of each group merged in the order of ``order``.
 
-    A merged file is written in one piece, so the files of one group have to fit into a task; groups
-    are spread over the cluster.
+    Inputs that cannot be read are left out and named in ``error`` by their places from 0 on; a group without any page has
+    null content. A merged file is written in one piece, so the files of one group have to fit into a
+    task; groups are spread over the cluster.
     """
     import pandas as pd
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__order", kind="stable")
-        content = assemble.merged((i, File(c)) for i, c in enumerate(pdf["content"]))
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "content": [content], "n_inputs": [len(pdf)]})
+        errors, pages = [], []
+        for i, c in enumerate(pdf["content"]):
+            try:
+                f = File(c or b"")
+                found = [(i, f, page, inherited) for _, page, inherited in f.pages()]
+                if not found:
+                    errors.append(f"input {i}: no pages")
+                pages += found
+            except Exception as e:
+                errors.append(f"input {i}: {type(e).__name__}: {e}")
+        content = None
+        try:
+            content = assemble.merged_pages(pages)
+        except Exception as e:
+            errors.append(str(e))
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "content": [content], "n_inputs": [len(pdf)], "error": ["; ".join(errors) or None]})
 
     kind = files.schema[group].dataType.simpleString()
-    return files.select(group, F.col(order).alias("__order"), "content").groupBy(group).applyInPandas(one, f"{group} {kind}, content binary, n_inputs long")
+    return files.select(group, F.col(order).alias("__order"), "content").groupBy(group).applyInPandas(one, f"{group} {kind}, content binary, n_inputs long, error string")
 
 
-def reachable(refs: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
-    """(doc_id, obj): all objects that can be reached from ``start`` over references, cycles included."""
-    edges = refs.select(F.col("doc_id").alias("d"), F.col("src_obj").alias("src"), F.col("dst_obj").alias("dst"))
+def reachable(refs: DataFrame, start: DataFrame) -> DataFrame:
+    """(doc_id, obj): all objects that can be reached from ``start`` over references, cycles included.
+
+    For edges that are tables already; ``pdf_reachable`` does it within the scan of a file. Each step
+    goes on from the objects that came new, and is a checkpoint; the steps are as many as the graph is deep.
+    """
+    edges = refs.select(F.col("doc_id").alias("d"), F.col("src_obj").alias("src"), F.col("dst_obj").alias("dst")).distinct().checkpoint()
     seen = start.select("doc_id", "obj").distinct().checkpoint()
     edge = seen
-    for _ in range(most):
+    while True:
         following = edge.join(edges, (F.col("doc_id") == F.col("d")) & (F.col("obj") == F.col("src"))).select("doc_id", F.col("dst").alias("obj")).distinct()
         edge = following.join(seen, ["doc_id", "obj"], "left_anti").checkpoint()
         if edge.isEmpty():
             return seen
-        seen = seen.union(edge)
-    raise RuntimeError("the graph is deeper than allowed")
+        seen = seen.union(edge).checkpoint()
 
 
 def decoded(stream: Column, filters: Column) -> Column:
@@ -224,12 +466,12 @@ def decoded(stream: Column, filters: Column) -> Column:
 
     @F.pandas_udf("binary")
     def run(data, names):
-        from leafmill.functions.filters import FilterError, decode
+        from leafmill.functions.filters import decode
 
         def one(d, n):
             try:
                 return None if d is None else decode(d, [] if n is None else list(n))
-            except FilterError:
+            except Exception:  # FilterError, or whatever the bytes led to
                 return None
 
         return data.combine(names, one)
@@ -249,4 +491,4 @@ def encoded(data: Column, filters: Column) -> Column:
     return run(data, filters)
 
 
-__all__ = [n for n in globals() if n.startswith("pdf_")] + ["create", "decoded", "document_text", "encoded", "join_operators", "merge", "newest", "page_counts", "reachable", "split_pages"]
+__all__ = [n for n in globals() if n.startswith("pdf_")] + ["buffered", "create", "decoded", "document_text", "encoded", "join_operators", "merge", "newest", "page_counts", "reachable", "split_pages"]
