@@ -30,27 +30,29 @@ def run_length_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
+_RUN = re.compile(rb"(.)\1\1+", re.S)
+
+
 def run_length_encode(data: bytes) -> bytes:
     """Runs of three to 128 equal bytes as repeats, all else in literals of at most 128 bytes."""
-    out, literal = bytearray(), bytearray()
+    out, at = bytearray(), 0
 
-    def close() -> None:
-        for i in range(0, len(literal), 128):
-            part = literal[i : i + 128]
+    def literals(upto: int) -> None:
+        for i in range(at, upto, 128):
+            part = data[i : min(i + 128, upto)]
             out.append(len(part) - 1)
             out.extend(part)
-        literal.clear()
 
-    for m in re.finditer(rb"(.)\1*", data, re.S):
+    for m in _RUN.finditer(data):  # what lies between is passed at once
+        literals(m.start())
         byte, left = m[1], len(m[0])
         while left >= 3:
-            close()
             n = min(left, 128)
             out.append(257 - n)
             out += byte
             left -= n
-        literal.extend(byte * left)
-    close()
+        at = m.end() - left
+    literals(len(data))
     return bytes(out) + b"\x80"
 
 

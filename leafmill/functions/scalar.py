@@ -51,7 +51,7 @@ def pdf_date(ts: Column, zone: str = "UTC") -> Column:
 def used_resources(content: Column, operator: str) -> Column:
     """The distinct names before an operator (Tf or Do) in the order of first use."""
     number = r"\s+[\d.]+" if operator == "Tf" else ""
-    return F.array_distinct(F.regexp_extract_all(content, F.lit(rf"/([A-Za-z0-9]+){number}\s+{operator}"), 1))
+    return F.array_distinct(F.regexp_extract_all(content, F.lit(rf"/([^\s/<>\[\]()]+){number}\s+{operator}"), 1))
 
 
 def rename_resource(content: Column, old: str, new: str) -> Column:
@@ -125,7 +125,7 @@ def format_bytes(n: Column) -> Column:
     """A number of bytes with a unit of 1,024s, at most two decimals."""
     size, out = F.abs(n), None
     for power, unit in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        number = F.regexp_replace(F.format_number(size / 1024**power, "0.##"), r"\.$", "")
+        number = F.regexp_replace(F.round(size / 1024**power, 2).cast("decimal(38,2)").cast("string"), r"\.?0+$", "")
         shown = F.concat(number, F.lit(f" {unit}"))
         out = F.when(size >= 1024**power, shown) if out is None else out.when(size >= 1024**power, shown)
     return F.when(n == 0, "0 B").otherwise(F.concat(F.when(n < 0, "-").otherwise(""), out))

@@ -86,6 +86,30 @@ def pdf_documents(files: DataFrame) -> DataFrame:
     return _scan(files, schema, rows, failed=lambda e: {"n_pages": 0, "error": e})
 
 
+def pdf_headers(files: DataFrame, reach: int = 64 << 10) -> DataFrame:
+    """(doc_id, version, startxref, size, root_obj, info_obj, prev, encrypted): the least that tells a file, in SQL functions.
+
+    Reads the first 8 KB and the last ``reach`` bytes, without objects and without older sections; null
+    where those bytes do not say it (a file with a table in a stream has no trailer).
+    """
+    head = F.decode(F.substring("content", 1, 8192), "ISO-8859-1")
+    tail = F.decode(F.substring("content", -reach, reach), "ISO-8859-1")
+    trailer = F.substring_index(tail, "trailer", -1)
+    trailer = F.when(F.contains(tail, F.lit("trailer")), F.regexp_extract(trailer, r"(?s)^\s*<<(.*?)startxref", 1)).otherwise("")
+
+    def number(pattern: str, text: Column) -> Column:
+        return F.regexp_extract(text, pattern, 1).try_cast("long")
+
+    last = F.get(F.slice(F.reverse(F.regexp_extract_all(tail, F.lit(r"startxref\s+(\d+)"), 1)), 1, 1), 0).try_cast("long")
+    return files.select(
+        "doc_id",
+        F.coalesce(F.nullif(F.regexp_extract(head, r"%PDF-(\d\.\d)", 1), F.lit("")), F.lit("1.3")).alias("version"),
+        last.alias("startxref"),
+        *[number(rf"/{key}\s+(\d+)", trailer).alias(name) for key, name in (("Size", "size"), ("Root", "root_obj"), ("Info", "info_obj"), ("Prev", "prev"))],
+        F.contains(trailer, F.lit("/Encrypt")).alias("encrypted"),
+    )
+
+
 def pdf_page_counts(files: DataFrame) -> DataFrame:
     """(doc_id, n_pages, n_split, n_merge): the tree's pages, and the counts by the rules of splitting and of merging.
 

@@ -40,7 +40,7 @@ def files(spark):
 def test_pages_and_text(spark, files):
     rows = {(r.doc_id, r.page_no): r.text for r in documents.pdf_page_text(files).collect()}
     assert rows == {(1, 1): "one", (1, 2): "two", (2, 1): "", (3, 1): ""}
-    assert {r.doc_id: r.text for r in documents.document_text(documents.pdf_page_text(files)).collect()} == {1: "one\ntwo"}
+    assert {r.doc_id: r.text for r in documents.document_text(documents.pdf_page_text(files)).collect()} == {1: "one\ntwo", 2: "", 3: ""}
     page = documents.pdf_pages(files).where("doc_id = 1").orderBy("page_no").collect()
     assert [list(p.mediabox) for p in page] == [[0, 0, 612, 792]] * 2
 
