@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import small_batches, text_or_empty
+from leafmill.llm.common import materialize, rebatched, small_batches, text_or_empty
 from leafmill.llm.lexicon import compile_words, mapped
 
 #: A pre-token enters the lexicon if at least one of so many pre-tokens of the corpus is it; so the
@@ -230,9 +230,9 @@ class Encoder(dict):
 def build_lexicon(docs: DataFrame, path: str, share: int = LEXICON_SHARE, text: str = "text") -> bytes:
     """The transducer of the pre-tokens in the frequent runs of ``docs``; at most ``share`` runs reach the driver."""
     runs = docs.select(F.explode(F.split(F.trim(text_or_empty(text)), r"\s+")).alias("run"))
-    counts = runs.groupBy("run").agg(F.count("*").alias("n"))
-    total = F.broadcast(runs.agg(F.count("*").alias("total")))
-    frequent = counts.join(total, F.col("n") * share >= F.col("total")).select("run")
+    counts = materialize(runs.groupBy("run").agg(F.count("*").alias("n")), "runs")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    frequent = counts.where(F.col("n") * share >= total).select("run")
     model = merger(path)
     words = {t for r in frequent.collect() for c in chunks_of(r.run) for t in model.pre_tokens(c) if isinstance(t, str)}
     ordered = sorted(words)
@@ -256,7 +256,7 @@ def encode_documents(docs: DataFrame, path: str, lexicon: bytes, text: str = "te
 
     def run(batches):
         encoder = Encoder(path, blob.value)
-        for batch in batches:
+        for batch in rebatched(batches):
             encoded = encoder.encode(batch.column(batch.num_columns - 1).to_pylist())
             n = pa.array([len(e) // 4 for e in encoded], pa.int64())
             if digest:

@@ -6,6 +6,7 @@ import mmap
 import os
 import struct
 import tempfile
+from functools import lru_cache
 from collections.abc import Iterable
 
 import numpy as np
@@ -106,8 +107,9 @@ def compile_words(words: Iterable[tuple[bytes, list[int]]]) -> bytes:
     return _HEAD.pack(len(states), len(label), len(entries), len(ids), 0) + body
 
 
+@lru_cache(maxsize=2)
 def mapped(blob: bytes) -> Transducer:
-    """The automaton read through a memory map of an unlinked file in the worker's own folder."""
+    """The automaton read through a memory map of an unlinked file in the worker's own folder; one for all tasks of a worker."""
     with tempfile.TemporaryFile() as f:
         f.write(blob)
         f.flush()
