@@ -16,6 +16,8 @@ BUCKETS, SMOOTHING, LOWEST_MEAN = 8192, 1.0, -0.15
 #: the steps in a unit in which means are counted.
 LOST_SHARE, MARGIN, STEPS = 0.001, 0.01, 1000
 SYMBOLS = "#*$%&|<>"
+#: Bits of a window's hash given up beyond those that its place needs: none, but for tests.
+MORE_BITS = 0
 
 
 def _words(text: Column) -> Column:
@@ -79,7 +81,7 @@ def score_rules(docs: DataFrame, ratios: list[float], text: str = "text", lowest
         {
             "__l": lines,
             "__h": windows,
-            "__bits": F.length(F.conv(n.cast("string"), 10, 2)),
+            "__bits": F.length(F.conv(n.cast("string"), 10, 2)) + F.lit(MORE_BITS),
             "__symbols": F.length(F.regexp_replace("__t", r"[^#*$%&|<>]+", "")),
             "__chars": F.aggregate("__w", F.lit(0).cast("long"), lambda acc, w: acc + F.length(w)),
         }
@@ -95,8 +97,18 @@ def score_rules(docs: DataFrame, ratios: list[float], text: str = "text", lowest
         words = [F.get("__w", p + k) == F.get("__w", q + k) for k in range(3)]
         return F.coalesce(high & words[0] & words[1] & words[2], F.lit(False))
 
+    def mixed(x: Column, y: Column) -> Column:
+        """Different windows in a row whose hashes agree in the high bits: between equal ones they would hide those."""
+        return F.coalesce((F.call_function("shiftright", x, c("__bits")) == F.call_function("shiftright", y, c("__bits"))) & ~same(x, y), F.lit(False))
+
     twice = F.filter("__s", lambda x, j: same(x, F.get("__s", j - 1)) | same(x, F.get("__s", j + 1)))
-    d = b.withColumn("__p", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(low).cast("int"))))
+    quick = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(low).cast("int")))
+    # Where that happens (in long texts, rarely) whole hashes are sorted, with their places.
+    pairs = F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    whole = F.filter("__q", lambda x, j: F.coalesce(x["h"] == F.get(c("__q"), j - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(c("__q"), j + 1)["h"], F.lit(False)))
+    hidden = F.exists(F.transform("__s", lambda x, j: mixed(x, F.get("__s", j + 1))), lambda x: x)
+    b = b.withColumn("__q", F.when(hidden, pairs))
+    d = b.withColumn("__p", F.when(c("__q").isNotNull(), F.sort_array(F.transform(whole, lambda x: x["i"]))).otherwise(quick))
     covered = F.aggregate(
         F.transform("__p", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("__p", j + 1), p + 3) - p)), F.lit(0).cast("long"), lambda acc, x: acc + x
     )
