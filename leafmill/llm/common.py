@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,14 +37,28 @@ def rebatched(batches, rows: int = BATCH_ROWS):
             yield batch.slice(at, rows)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Batches of another size for what runs inside; the session's setting is as before after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where the session names none (tests) a local folder is made and set.
+    Only where the session names none and runs in one process (tests) a local folder is made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = spark.conf.get("leafmill.scratch", None)
     if not own:
         own = "file://" + tempfile.mkdtemp(prefix="leafmill-")
@@ -72,8 +87,8 @@ def _drop_scratch() -> None:
             jvm = spark._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone already
-            return
+        except Exception:  # the session may be gone already; the others are tried all the same
+            continue
 
 
 def crc_mod(column: Column, mod: int) -> Column:

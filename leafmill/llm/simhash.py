@@ -8,13 +8,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialize, small_batches, text_or_empty
+from leafmill.llm.common import batch_rows, materialize, rebatched, small_batches, text_or_empty
 from leafmill.llm.graph import components
 
 #: Bits in which linked fingerprints may differ, and blocks that a fingerprint is cut into.
 RADIUS, BLOCKS = 3, 4
-#: A shard of more fingerprints than this is cut further by its remaining bits.
-SHARD_ROWS = 1024
+#: A shard of more fingerprints than this is dealt out further by its remaining bits, so often at most.
+SHARD_ROWS, DEALS = 1024, 3
+#: Rows of numbers in one batch of a search.
+SEARCH_ROWS = 20_000
 
 
 def fingerprint_of(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -40,7 +42,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), text_or_empty(text).alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in rebatched(batches):
             fps = np.array([fingerprint_of(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fps)], ["doc_id", "key", "fp"])
 
@@ -104,46 +106,53 @@ def linked_roots(fps: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     return [(fps[i], fps[r]) for i in range(len(fps)) if (r := root(i)) != i]
 
 
+def _parts(used: int, parts: int) -> list[tuple[int, int]]:
+    """(nibbles used then, mask of the part's bits) of the parts that the unused nibbles of a fingerprint are cut into."""
+    free = [k for k in range(16) if not used >> k & 1]
+    out = []
+    for i in range(parts):
+        own = free[len(free) * i // parts : len(free) * (i + 1) // parts]
+        out.append((used | sum(1 << k for k in own), sum(0xF << 4 * k for k in own)))
+    return out
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) of a forest that spans all fingerprints of ``distinct`` (column fp) within the radius.
 
-    Fingerprints that differ in at most ``radius`` bits agree in one of radius + 1 blocks, so each
-    block's value names a shard. A shard of over ``SHARD_ROWS`` fingerprints is dealt out again by
-    blocks of its other bits, by the same argument, so that no task holds all of a hot value. A tree
+    Fingerprints that differ in at most ``radius`` bits agree in one of radius + 1 parts of them, so each
+    part's value names a shard. A shard of over ``SHARD_ROWS`` fingerprints is dealt out again by parts of
+    its other bits, by the same argument and with the same links, up to ``DEALS`` times in all. A tree
     is built where its shard is and searched by the shard's own fingerprints only.
     """
-    spark = distinct.sparkSession
-    blocks, width = radius + 1, 64 // (radius + 1)
-    fp = F.col("fp")
-
-    def block(i: int):
-        return F.shiftrightunsigned(fp, 64 - width * (i + 1)).bitwiseAND(F.lit((1 << width) - 1))
-
-    shards = F.array(*[F.struct(F.lit(i).alias("block"), block(i).alias("value")) for i in range(blocks)])
-    dealt = distinct.select("fp", F.explode(shards).alias("s")).select("fp", "s.block", "s.value")
-    hot = dealt.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS)
-    marked = dealt.join(hot, ["block", "value"], "left")
-    narrow = width // blocks
-
-    def cut(i: int):
-        """Every (radius + 1)-th slice of each other block: blocks of the remaining bits."""
-        parts = [F.shiftrightunsigned(fp, 64 - width * b - narrow * (i + 1)).bitwiseAND(F.lit((1 << narrow) - 1)) * F.lit(1 << (narrow * b)) for b in range(blocks)]
-        own = F.when(F.col("block") == 0, parts[0])
-        for b in range(1, blocks):
-            own = own.when(F.col("block") == b, parts[b])
-        return sum(parts[1:], parts[0]) - own
-
-    again = F.array(*[F.struct(F.lit(i).alias("cut"), cut(i).alias("sub")) for i in range(blocks)])
-    whole = F.array(F.struct(F.lit(-1).alias("cut"), F.lit(0).cast("long").alias("sub")))
-    keyed = marked.select("fp", "block", "value", F.explode(F.when(F.col("n").isNull(), whole).otherwise(again)).alias("c"))
-    keyed = keyed.select("fp", F.xxhash64("block", "value", "c.cut", "c.sub").alias("shard"))
-    ordered = keyed.repartition("shard").sortWithinPartitions("shard", "fp")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    fp, blocks = F.col("fp"), radius + 1
+    dealt = distinct.select("fp", F.lit(0).alias("used"), F.lit(0).cast("long").alias("shard"), F.lit(True).alias("open"))
+    states = {0}
+    for deal in range(DEALS):
+        known = {u: _parts(u, blocks) for u in sorted(states)}
+        states = {u for parts in known.values() for u, _ in parts}
+        cut = None
+        for u, parts in known.items():
+            made = F.array(*[F.struct(F.lit(v).alias("used"), F.xxhash64("shard", F.lit(v), fp.bitwiseAND(F.lit(_signed(mask)))).alias("shard"), F.lit(True).alias("open")) for v, mask in parts])
+            cut = F.when(F.col("used") == u, made) if cut is None else cut.when(F.col("used") == u, made)
+        stays = F.array(F.struct("used", "shard", F.lit(False).alias("open")))
+        dealt = dealt.select("fp", F.explode(F.when(F.col("open"), cut).otherwise(stays)).alias("c")).select("fp", "c.*")
+        if deal == DEALS - 1:
+            break
+        if deal:
+            dealt = materialize(dealt, "shards")
+        hot = dealt.where("open").groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS).select(F.col("shard").alias("hot"))
+        dealt = dealt.join(hot, dealt["shard"] == hot["hot"], "left").select("fp", "used", "shard", (F.col("open") & F.col("hot").isNotNull()).alias("open"))
+    ordered = dealt.select("fp", "shard").repartition("shard").sortWithinPartitions("shard", "fp")
 
     def run(batches):
-        held_fp, held_shard = np.empty(0, np.int64), np.empty(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the shard that goes on
 
-        def found(fps, shards):
+        def found():
+            fps, shards = (np.concatenate(x) for x in zip(*held, strict=True))
             bounds = np.flatnonzero(np.diff(shards)) + 1
             starts, ends = np.concatenate([[0], bounds]), np.concatenate([bounds, [len(shards)]])
             unsigned, out = fps.view(np.uint64), []
@@ -153,14 +162,17 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
-            fps = np.concatenate([held_fp, batch.column("fp").to_numpy()])
-            shards = np.concatenate([held_shard, batch.column("shard").to_numpy()])
-            last = int(np.searchsorted(shards, shards[-1])) if len(shards) else 0
-            held_fp, held_shard = fps[last:], shards[last:]
-            if last:
-                yield found(fps[:last], shards[:last])
-        if len(held_fp):
-            yield found(held_fp, held_shard)
+            fps, shards = batch.column("fp").to_numpy(), batch.column("shard").to_numpy()
+            if not len(shards):
+                continue
+            last = int(np.searchsorted(shards, shards[-1]))
+            if last or (held and held[-1][1][-1] != shards[-1]):
+                held.append((fps[:last], shards[:last]))
+                yield found()
+                held = []
+            held.append((fps[last:], shards[last:]))
+        if held:
+            yield found()
 
     return ordered.mapInArrow(run, "a long, b long")
 
@@ -169,7 +181,9 @@ def rooted(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text:
     """(doc_id, key, fp, root, component_id), one row for each row of ``docs``: root is a fingerprint that names the component."""
     prints = materialize(fingerprints(docs, doc_id, text), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fingerprints")
-    roots = components(materialize(links(distinct.select("fp"), radius), "links"))
+    with batch_rows(docs.sparkSession, SEARCH_ROWS):  # numbers alone, so large batches are small
+        edges = materialize(links(distinct.select("fp"), radius), "links")
+    roots = components(edges)
     labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
     merged = labelled.join(smallest.where("n > 1"), "root", "left")
@@ -184,6 +198,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
     those without words, have fingerprint zero and are linked with each other and with what lies in
     the radius. Repeated rows stay. A null doc_id is larger than none: it is never a component's id
     unless the component has no other. ``key`` tells apart rows with one doc_id and different texts.
+    Texts of any length are read whole; extra columns are not read, whatever they are called.
     """
     out = rooted(docs, radius, doc_id, text)
     return out.select("doc_id", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -197,7 +212,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text
     """
     found = rooted(docs, radius, doc_id, text)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("b"))
-    keys = best.select(F.col("b.key").alias("__keep")).distinct()
+    keys = best.select(F.col("b.doc_id").alias("__id"), F.col("b.key").alias("__keep"))
     rows = docs.withColumn("__key", F.xxhash64(F.col(doc_id), F.col(text)))
-    kept = rows.join(keys, rows["__key"] == keys["__keep"], "left_semi")
-    return kept.dropDuplicates(["__key"]).drop("__key")
+    # By id and key: keys alone are too few for all the documents of a large corpus.
+    kept = rows.join(keys, (rows["__key"] == keys["__keep"]) & rows[doc_id].eqNullSafe(keys["__id"]), "left_semi")
+    return kept.dropDuplicates([doc_id, "__key"]).drop("__key")
