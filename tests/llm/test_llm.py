@@ -244,6 +244,15 @@ def test_rules_equal_brute_force(spark, docs, odd):
             assert r.kept == (not failed and mean >= quality_rules.LOWEST_MEAN)
 
 
+def test_rules_are_exact_where_hashes_agree_in_part(spark, docs, monkeypatch):
+    """With few bits left of a window's hash, different windows get between equal ones; the counts stay right."""
+    monkeypatch.setattr(quality_rules, "MORE_BITS", 48)
+    rows = [(i, " ".join(random.Random(i).choice("abcdefghijklmnop") for _ in range(20 + 5 * i))) for i in range(60)]
+    frame = docs.select("doc_id", "text").limit(100).union(spark.createDataFrame(rows, "doc_id long, text string"))
+    for r in quality_rules.score_rules(frame, [0.0] * quality_rules.BUCKETS).collect():
+        assert r.n_repeat_words == base_rules(r.text)[4]
+
+
 def _xx(parts):
     seed = 42
     for p in parts:
