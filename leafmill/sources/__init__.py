@@ -41,6 +41,8 @@ def write_files(files: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder in spark.checkpoint.dir; a local one is set only where it is unset."""
+    """Checkpoints go to the folder in spark.checkpoint.dir; a local one is set only where it is unset and all runs in one process."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="leafmill-"))
