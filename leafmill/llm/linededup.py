@@ -21,6 +21,9 @@ BLOCK_WORDS = 20
 #: Texts whose hashes are held in Python at once.
 SPLIT_ROWS = 32
 
+#: Places of a run in a partner that are looked at where the later document has fewer of it.
+PLACES = 16
+
 #: A line has three words or more and ends after a newline, or after a sentence mark and one space, if
 #: three words follow: passages recur inside lines, and shorter sentences belong to what comes next.
 LINE = r"(?s)[ \t-\r]*+(?:[^ \t-\r]++[ \t-\r]++){2}[^ \t-\r].*?(?:(?:\n|[.!?] )(?=[ \t-\r]*+[^ \t-\r]++[ \t-\r]++[^ \t-\r]++[ \t-\r]++[^ \t-\r])|\z)|.++\z"
@@ -184,6 +187,8 @@ def shared_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", b
     # Written, so that both sides of the join are plain exchanges and a hot hash's can be split.
     holders = materialize(first.select("h", F.col("f.id").alias("partner"), F.col("f.key").alias("pkey"), F.col("f.at").alias("there")), "first-holders")
     matched = rows.join(holders, "h").where(~(F.col("id").eqNullSafe(F.col("partner")) & (F.col("key") == F.col("pkey"))))
+    # A partner may repeat a run without end; which of its places stands opposite changes no cut.
+    matched = matched.withColumn("there", F.slice("there", 1, F.greatest(F.size("at"), F.lit(PLACES))))
     # A document's hashes are one row each and repeated rows fall together, so the set is bounded by one text.
     of = matched.groupBy("id", "key").agg(F.collect_set(F.struct("partner", "pkey", "n", "at", "there")).alias("shared"))
 
