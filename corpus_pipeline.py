@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids and what they decode to."""
+    """(doc_id, text, n_tokens, ids, decoded): the documents' token ids and what they decode to, one row for each."""
     path = vocabulary_path()
     return bpe.encode_documents(docs.select("doc_id", "text"), path, bpe.build_lexicon(docs, path))
 
@@ -58,6 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of the last stage over ``documents``; each stage before it is written and read again.
+
+    Null and empty texts fail the first stage's rules, so they go there. No documents, or none that a
+    stage keeps, give no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
