@@ -697,6 +697,26 @@ def test_later_copies_go_whoever_holds_their_lines(spark):
     assert blocks == {3: [(2, 0, 3, 0, False)], 11: [(10, 0, 39, 0, False)], 12: [(10, 1, 25, 0, False)], 30: [(None, 0, 3, 0, False)]}
 
 
+def test_cuts_equal_alignments_of_all_pairs(spark, docs, texts):
+    """On the small table: every document aligned line by line with every earlier one."""
+    got = {r.doc_id: r.n_cut for r in linededup.delete_repeats(docs.select("doc_id", "text"), counts=True).collect()}
+    lines = {i: [b" ".join(x.lower().encode().split()) for x in linededup._LINE.findall(t)] for i, t in texts.items()}
+    words = {i: [len(x.split()) for x in own] for i, own in lines.items()}
+    some = 0
+    for i, own in sorted(lines.items()):
+        cut = set()
+        for j in (j for j in lines if j < i and not set(lines[j]).isdisjoint(own)):
+            at = collections.defaultdict(list)
+            for q, x in enumerate(lines[j]):
+                at[x].append(q)
+            pairs = [(p, q) for p, x in enumerate(own) for q in at.get(x, ())]
+            for a, b, _, _ in linededup.common_blocks([p for p, _ in pairs], [q for _, q in pairs], [words[i][p] for p, _ in pairs]):
+                cut.update(range(a, b + 1))
+        assert got[i] == len(cut), i
+        some += bool(cut)
+    assert some > 20
+
+
 def test_repeated_rows_and_null_ids_are_kept_apart(spark):
     text = " ".join(f"w{i}" for i in range(60))
     docs = spark.createDataFrame([(None, text), (None, text), (None, text + " more"), (4, text), (4, text)], "doc_id long, text string")
@@ -883,6 +903,17 @@ def test_updates_climb_the_likelihood(spark):
     assert share.sum(axis=1) == pytest.approx(np.ones(5), abs=1e-5)
 
 
+def test_language_model_on_odd_rows(spark, odd):
+    """Clashing columns, equal rows and equal counts: one row each, equal scores for equal texts."""
+    frame = odd.withColumns({"part": F.lit("p"), "token": F.lit(b"t"), "n": F.lit(1), "held_out": F.lit("h"), "doc": F.lit(3)})
+    got = maxent.score(frame).collect()
+    assert len(got) == len(ODD)
+    scores = {round(r.score, 6) for r in got if r.doc_id in (1, 5)}
+    assert len(scores) == 1
+    assert {r.n_tokens for r in got if r.doc_id in (2, 3, 4)} == {1}
+    assert maxent.classes_of([(b"b", 5), (b"a", 5), (b" ", 9)]) == maxent.classes_of([(b" ", 9), (b"a", 5), (b"b", 5)])
+
+
 # Pipeline ------------------------------------------------------------------------------------------
 
 
@@ -902,6 +933,15 @@ def test_pipeline_equals_its_stages_by_hand(spark, docs, texts):
     assert not rejected & set(rows)
 
 
+def test_pipeline_of_nothing_that_is_kept(spark, tmp_path):
+    for name, rows in {"short": [(1, "few words", "en", "s", 9), (2, None, "en", "s", 0), (None, "", None, None, None)], "none": []}.items():
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "an item")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        assert corpus_pipeline.run(spark, folder).collect() == []
+
+
 def test_stages_keep_clashing_columns(spark, odd):
     frame = odd.withColumns({"kept": F.lit("x"), "row": F.lit(1), "n_cut": F.lit(2), "n_words": F.lit(3), "key": F.lit("k"), "lang": F.lit(None).cast("string")})
     for name, stage in corpus_pipeline.STAGES[:-1]:
