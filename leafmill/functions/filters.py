@@ -116,6 +116,49 @@ def lzw_decode(data: bytes, early: int = 1) -> bytes:
     return bytes(out)
 
 
+def lzw_encode(data: bytes) -> bytes:
+    """Codes of nine to twelve bits; the table begins anew when it is full."""
+    out, held, size = bytearray(), 0, 0
+
+    def put(code: int, width: int) -> None:
+        nonlocal held, size
+        held, size = held << width | code, size + width
+        while size >= 8:
+            size -= 8
+            out.append(held >> size)
+            held &= (1 << size) - 1
+
+    table, width, now = {bytes([i]): i for i in range(256)}, 9, b""
+    put(256, width)
+    following = 258
+    for i in range(len(data)):
+        longer = now + data[i : i + 1]
+        if longer in table:
+            now = longer
+            continue
+        put(table[now], width)
+        table[longer] = following
+        following += 1
+        width = min(12, max(9, following.bit_length()))
+        if following == 4095:
+            put(256, width)
+            table, width, following = {bytes([i]): i for i in range(256)}, 9, 258
+        now = data[i : i + 1]
+    if now:
+        put(table[now], width)
+        width = min(12, max(9, (following + 1).bit_length()))
+    put(257, width)
+    if size:
+        put(0, 8 - size)
+    return bytes(out)
+
+
+def ascii85_encode(data: bytes) -> bytes:
+    import base64
+
+    return base64.a85encode(data) + b"~>"
+
+
 def undo_predictor(data: bytes, predictor: int, columns: int = 1, colors: int = 1, bits: int = 8) -> bytes:
     """Reverses the TIFF (2, bytes only) and PNG (10 to 15) predictors."""
     if predictor < 2:
@@ -169,6 +212,8 @@ ENCODERS: dict[str, Callable[[bytes], bytes]] = {
     "FlateDecode": zlib.compress,
     "RunLengthDecode": run_length_encode,
     "ASCIIHexDecode": lambda data: data.hex().upper().encode() + b">",
+    "ASCII85Decode": ascii85_encode,
+    "LZWDecode": lzw_encode,
     "DCTDecode": bytes,
     "CCITTFaxDecode": bytes,
 }

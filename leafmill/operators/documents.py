@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -167,6 +167,17 @@ def newest(xref: DataFrame, oldest_wins: bool = False) -> DataFrame:
     return xref.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def live(xref: DataFrame) -> DataFrame:
+    """The entries that objects are read from: of each object the newest one, unless it is free."""
+    return newest(xref).where("not free")
+
+
+def resolved(refs: DataFrame, objects: DataFrame) -> DataFrame:
+    """The references of ``pdf_refs`` with the type and value of what they lead to, null for free and missing objects."""
+    there = objects.select(F.col("doc_id").alias("__d"), F.col("obj").alias("__o"), F.col("type").alias("dst_type"), F.col("value").alias("dst_value"))
+    return refs.join(there, (F.col("doc_id") == F.col("__d")) & (F.col("dst_obj") == F.col("__o")), "left").drop("__d", "__o")
+
+
 def pdf_objects(files: DataFrame) -> DataFrame:
     """(doc_id, obj, gen, type, subtype, value, filters, stream): value as JSON text, streams as they are stored."""
 
@@ -203,12 +214,20 @@ def pdf_refs(files: DataFrame) -> DataFrame:
     return _scan(files, "src_obj long, key string, ordinal int, dst_obj long", rows)
 
 
-def pdf_pages(files: DataFrame) -> DataFrame:
-    """(doc_id, page_no, obj, parent_obj, mediabox, rotate): pages in tree order from 1 on, with what they inherit."""
+def pdf_pages(files: DataFrame, deep: bool = True) -> DataFrame:
+    """(doc_id, page_no, obj, parent_obj, mediabox, rotate): pages in tree order from 1 on, with what they inherit.
+
+    Without ``deep`` only the pages that hang on the root itself.
+    """
 
     def rows(content: bytes):
         f = File(content)
-        for i, (n, _, inherited) in enumerate(f.pages(), 1):
+        top = None
+        if not deep:
+            root = f.resolve(f.trailer.get("Root"))
+            top = getattr(root.get("Pages"), "obj", None) if isinstance(root, dict) else None
+        found = (x for x in f.pages() if deep or x[2].get("Parent") == top)
+        for i, (n, _, inherited) in enumerate(found, 1):
             box = f.resolve(inherited.get("MediaBox"))
             box = [float(f.resolve(x)) for x in box] if isinstance(box, list) and len(box) == 4 else [float(x) for x in assemble.LETTER]
             rotate = f.resolve(inherited.get("Rotate"))
@@ -371,6 +390,17 @@ def pdf_reachable(files: DataFrame) -> DataFrame:
     return _scan(files, "obj long", rows)
 
 
+def map_pages(files: DataFrame, function: Callable[[int, str], object], kind: str = "string") -> DataFrame:
+    """(doc_id, page_no, result) of ``function(page_no, text)`` for every page as it is read, empty ones included."""
+
+    def rows(content: bytes):
+        f = File(content)
+        for i, (_, page, inherited) in enumerate(f.pages(), 1):
+            yield {"page_no": i, "result": function(i, _text_of(f, page, inherited))}
+
+    return _scan(files, f"page_no int, result {kind}", rows)
+
+
 def buffered(n_bytes: Column, pages_wanted: Column | None = None, n_pages: Column | None = None, reuse: int = 1) -> Column:
     """Whether a file is better read whole: it is small, is used again, or most or all of its pages are wanted."""
     choice = (n_bytes < 5 * 1024 * 1024) | F.lit(reuse > 1)
@@ -503,6 +533,26 @@ def decoded(stream: Column, filters: Column) -> Column:
     return run(stream, filters)
 
 
+def decoded_or_error(stream: Column, filters: Column) -> Column:
+    """(data, error): the decoded bytes, or why there are none."""
+
+    @F.pandas_udf("data binary, error string")
+    def run(data, names):
+        import pandas as pd
+
+        from leafmill.functions.filters import decode
+
+        def one(d, n):
+            try:
+                return (None if d is None else decode(d, [] if n is None else list(n))), None
+            except Exception as e:  # FilterError, or whatever the bytes led to
+                return None, str(e)
+
+        return pd.DataFrame([one(d, n) for d, n in zip(data, names, strict=True)], columns=["data", "error"], dtype=object)
+
+    return run(stream, filters)
+
+
 def encoded(data: Column, filters: Column) -> Column:
     """Bytes encoded so that ``decoded`` with the same filters gives them back."""
 
@@ -515,4 +565,4 @@ def encoded(data: Column, filters: Column) -> Column:
     return run(data, filters)
 
 
-__all__ = [n for n in globals() if n.startswith("pdf_")] + ["buffered", "create", "decoded", "document_text", "encoded", "join_operators", "merge", "newest", "page_counts", "reachable", "split_pages"]
+__all__ = [n for n in globals() if n.startswith("pdf_")] + ["buffered", "create", "decoded", "decoded_or_error", "document_text", "encoded", "join_operators", "live", "map_pages", "merge", "newest", "page_counts", "reachable", "resolved", "split_pages"]

@@ -312,6 +312,36 @@ def active_font(spark, sf_dir):
     return ops.select("doc_id", "page_no", F.row_number().over(w).cast("long").alias("op_no"), "active_font")
 
 
+@query(f"SELECT doc_id, page_no::INT AS page_no, unnest(CASE WHEN page_no % 4 = 1 THEN ['F1', 'F3'] WHEN page_no % 2 = 1 THEN ['F1'] ELSE ['F2'] END) AS name FROM ({_LINES})")
+def resource_pruning(spark, sf_dir):
+    """Files of one page keep the fonts that the page names, of three."""
+    parts = documents.split_pages(_made(_table(spark, sf_dir, "documents"), _tree_file))
+    fonts = documents.pdf_fonts(parts.select(F.struct("doc_id", "page_no").alias("doc_id"), "content"))
+    return fonts.select("doc_id.doc_id", "doc_id.page_no", "name")
+
+
+@query("SELECT doc_id, 2 * n + 3 AS n_live, n AS n_parents, n AS n_to_pages FROM (SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n FROM documents)")
+def reference_join(spark, sf_dir):
+    """References joined with the objects that they lead to: every page's parent is the tree."""
+    files = _files(spark, sf_dir)
+    links = documents.resolved(documents.pdf_refs(files), documents.pdf_objects(files))
+    parents = F.col("key") == "/Parent"
+    counts = links.groupBy("doc_id").agg(F.count_if(parents).alias("n_parents"), F.count_if(parents & (F.col("dst_type") == "Pages")).alias("n_to_pages"))
+    entries = documents.live(documents.pdf_xref(files)).groupBy("doc_id").agg(F.count("*").alias("n_live"))
+    return counts.join(entries, "doc_id")
+
+
+@query(
+    """SELECT doc_id, md5(text) AS lzw_md5, md5(text) AS a85_md5, CASE WHEN doc_id % 2 = 0 THEN 'unknown filter Gone' END AS error FROM documents"""
+)
+def filter_errors(spark, sf_dir):
+    """Two more filters there and back, and an error column for one that does not exist."""
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data")))
+    one = {n: F.array(F.lit(n)) for n in ("LZWDecode", "ASCII85Decode")}
+    both = docs.select("doc_id", *[documents.decoded(documents.encoded(F.col("data"), f), f).alias(n) for n, f in one.items()], documents.decoded_or_error(F.col("data"), F.array(F.when(F.col("doc_id") % 2 == 0, "Gone").otherwise("DCTDecode"))).alias("e"))
+    return both.select("doc_id", F.md5("LZWDecode").alias("lzw_md5"), F.md5("ASCII85Decode").alias("a85_md5"), F.col("e.error").alias("error"))
+
+
 @query("SELECT doc_id, (2 * len(string_split(text, chr(10))) + 3)::BIGINT AS n_entries, (2 * len(string_split(text, chr(10))) + 3)::BIGINT AS n_right FROM documents")
 def xref_offsets(spark, sf_dir):
     """At each offset of the table the bytes of a file have that object."""

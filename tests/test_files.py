@@ -132,6 +132,35 @@ def test_no_bad_file_fails_a_scan(spark, bad):
     assert all(r.content is None and "no pages" in r.error for r in empty)
 
 
+def test_relations_of_objects(spark):
+    tree = assemble.tree_document([(b"(a) Tj", {}), (b"(b) Tj", {}), (b"(c) Tj", {})], {"MediaBox": [0, 0, 9, 9]}, fanout=2)
+    flat = assemble.text_document([["x"], ["y"]])
+    freed = assemble.updated(flat, {4: None})
+    freed = freed[: freed.rindex(b" n ")] + b" f " + freed[freed.rindex(b" n ") + 3 :]
+    files = spark.createDataFrame([(1, bytearray(tree)), (2, bytearray(flat)), (3, bytearray(freed))], "doc_id long, content binary")
+    assert {r.doc_id: r["count"] for r in documents.pdf_pages(files, deep=False).groupBy("doc_id").count().collect()} == {2: 2, 3: 2}
+    assert {r.doc_id: r["count"] for r in documents.pdf_pages(files).groupBy("doc_id").count().collect()} == {1: 3, 2: 2, 3: 2}
+    assert 4 in {r.obj for r in documents.live(documents.pdf_xref(files)).where("doc_id = 2").collect()}
+    assert 4 not in {r.obj for r in documents.live(documents.pdf_xref(files)).where("doc_id = 3").collect()}
+    links = documents.resolved(documents.pdf_refs(files), documents.pdf_objects(files)).collect()
+    assert {(r.src_obj, r.key, r.dst_type) for r in links if r.doc_id == 2 and r.key in ("/Pages", "/Parent")} == {(1, "/Pages", "Pages"), (5, "/Parent", "Pages"), (7, "/Parent", "Pages")}
+    assert [r.dst_value for r in links if r.doc_id == 3 and r.dst_obj == 4] == [None]
+    counted = documents.map_pages(files, lambda i, text: i * len(text), "long").collect()
+    assert sorted((r.doc_id, r.page_no, r.result) for r in counted if r.doc_id == 1) == [(1, 1, 1), (1, 2, 2), (1, 3, 3)]
+    rows = spark.createDataFrame([(bytearray(b"61>"), ["ASCIIHexDecode"]), (bytearray(b"x"), ["Nothing"]), (None, ["RL"]), (bytearray(b"raw"), None)], "d binary, f array<string>")
+    got = [(r.x.data and bytes(r.x.data), r.x.error) for r in rows.select(documents.decoded_or_error(F.col("d"), F.col("f")).alias("x")).collect()]
+    assert got == [(b"a", None), (None, "unknown filter Nothing"), (None, None), (b"raw", None)]
+
+
+def test_bitmap_columns(spark):
+    from leafmill.operators import bitmap
+
+    row = spark.createDataFrame([([0, 255, 7], 18, 3)], "line array<int>, w int, h int")
+    out = row.select(bitmap.invert(F.col("line")).alias("i"), bitmap.packed_size(F.col("w"), F.col("h")).alias("s")).first()
+    assert (list(out.i), out.s) == ([255, 0, 248], 9)
+    assert bitmap.unpack_line(bitmap.pack_line(b"\xff\0\xff" * 7), 21) == b"\xff\0\xff" * 7
+
+
 def test_documents_without_text_keep_their_rows(spark):
     files = documents.create(spark.createDataFrame([(1, "a\n\nb"), (2, ""), (3, None)], "doc_id long, text string"))
     files = files.union(spark.createDataFrame([(4, bytearray(b""))], "doc_id long, content binary"))

@@ -30,11 +30,20 @@ def test_filter_cases():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.binary(max_size=600), st.lists(st.sampled_from(["FlateDecode", "RunLengthDecode", "ASCIIHexDecode"]), max_size=3))
+@given(st.binary(max_size=600), st.lists(st.sampled_from(["FlateDecode", "RunLengthDecode", "ASCIIHexDecode", "ASCII85Decode", "LZWDecode"]), max_size=3))
 def test_filters_round_trip(data, names):
     assert filters.decode(filters.encode(data, names), names) == data
 
 
+def test_long_data_round_trip():
+    import random
+
+    rng = random.Random(1)
+    for data in (bytes(rng.randrange(256) for _ in range(60_000)), bytes(rng.randrange(3) for _ in range(60_000)), b"ab" * 40_000, b"\0" * 70_000):
+        for name in ("LZWDecode", "RunLengthDecode", "ASCII85Decode"):
+            assert filters.decode(filters.encode(data, [name]), [name]) == data
+
+
 def test_png_predictors():
     rows = bytes([1, 10, 1, 1]) + bytes([2, 1, 1, 1]) + bytes([0, 7, 8, 9]) + bytes([3, 1, 1, 1]) + bytes([4, 1, 0, 0])
     out = filters.undo_predictor(rows, 12, 3)
