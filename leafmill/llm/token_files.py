@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -21,6 +22,11 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 
 
+_MARKS = frozenset(punctuation)
+#: Words that the library encodes as one text.
+_TOGETHER = 1000
+
+
 class LibraryEncoder:
     """Runs without white space and their ids, as the tokenizers library encodes them.
 
@@ -33,6 +39,13 @@ class LibraryEncoder:
 
     def __init__(self, path: str):
         self.model, self.known, self.older = library(path), {}, {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix, vocabulary = spec["model"].get("end_of_word_suffix"), self.model.get_vocab(with_added_tokens=True)
+        #: Of each id whether it ends a word; of none if the vocabulary does not mark them.
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
 
     @staticmethod
     def lowered(text: str) -> tuple[str, bool]:
@@ -45,28 +58,46 @@ class LibraryEncoder:
         return (text, False) if "<|" in text else (text.lower(), True)
 
     def learn(self, runs: set[str], plain: bool) -> None:
-        known, older = self.known, self.older
-        unseen, made = set(), []
-        for run in runs:
-            if (ids := older.get(run)) is not None:
-                known[run] = ids
-                continue
-            word = run.rstrip(punctuation) if plain else run
-            parts = (word, run[len(word) :]) if len(word) < len(run) and word.isalpha() else (run,)
-            if len(parts) == 2:
-                made.append((run, *parts))
-            for part in parts:
-                if part not in known and part not in unseen:
-                    if (ids := older.get(part)) is not None:
-                        known[part] = ids
-                    else:
-                        unseen.add(part)
-        encoded = self.model.encode_batch_fast(list(unseen), add_special_tokens=False)
-        for part, e in zip(unseen, encoded, strict=True):
+        known, older, made, parts = self.known, self.older, [], set()
+        if older:
+            again = {run: older[run] for run in runs if run in older}
+            known.update(again)
+            runs = runs.difference(again)
+        if plain:
+            for run in runs:
+                if run[-1] in _MARKS and (word := run.rstrip(punctuation)).isalpha():
+                    made.append((run, word, run[len(word) :]))
+                    parts.add(word)
+                    parts.add(run[len(word) :])
+                else:
+                    parts.add(run)
+        else:
+            parts = runs
+        unseen = [part for part in parts if part not in known]
+        if older:
+            again = {part: older[part] for part in unseen if part in older}
+            known.update(again)
+            unseen = [part for part in unseen if part not in again]
+        words = [part for part in unseen if part.isalpha()] if plain else []
+        for a in range(0, len(words), _TOGETHER):
+            self._learn_words(words[a : a + _TOGETHER])
+        rest = [part for part in unseen if part not in known]
+        for part, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[part] = array("I", e.ids).tobytes()
         for run, word, tail in made:
             known[run] = known[word] + known[tail]
 
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters as one text: each is one pre-token, so its ids end at the first that ends a word.
+
+        Where the numbers do not agree (another vocabulary) the words are left to be encoded one by one.
+        """
+        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) == len(words):
+            data = ids.tobytes()
+            self.known.update(zip(words, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
