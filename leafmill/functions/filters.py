@@ -62,7 +62,7 @@ def ascii_hex_decode(data: bytes) -> bytes:
 
 
 def ascii85_decode(data: bytes) -> bytes:
-    digits = b"".join(data.split()).rstrip(b"~>")
+    digits = b"".join(data.split()).split(b"~", 1)[0]  # only the end mark has a tilde; > is a digit as well
     out, group = bytearray(), []
     for c in digits:
         if c == 0x7A and not group:

@@ -82,9 +82,31 @@ def char_width(widths: list[int], char: str) -> int:
     return widths[n] if 0 < n < len(widths) else mean_width(widths)
 
 
+class Widths(dict):
+    """Character to its width in one font, filled as characters come."""
+
+    def __init__(self, widths: list[int]):
+        self.widths = widths
+
+    def __missing__(self, char: str) -> int:
+        width = char_width(self.widths, char)
+        if len(self) < 1 << 16:
+            self[char] = width
+        return width
+
+
+_TABLES: dict[tuple[int, ...], Widths] = {}
+
+
+def table_of(widths: list[int]) -> Widths:
+    """The one table of a font's widths in this process."""
+    key = tuple(widths)
+    return _TABLES.get(key) or _TABLES.setdefault(key, Widths(widths))
+
+
 def text_width(widths: list[int], text: str) -> int:
     """In thousandths of the size."""
-    return sum(char_width(widths, c) for c in text)
+    return sum(map(table_of(widths).__getitem__, text))
 
 
 def codes_for(texts: Iterable[str]) -> dict[str, int]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.assemble import unicode_font
-from leafmill.functions.fonts import HELVETICA, char_width, coded, core_font, mean_width, style_of, text_width
+from leafmill.functions.fonts import HELVETICA, char_width, coded, core_font, mean_width, style_of, table_of, text_width
 from leafmill.functions.images import Image
 from leafmill.functions.objects import Name, Ref, Stream, escape, serialize
 
@@ -31,11 +31,12 @@ def wrap_text(text: str, limit: float, widths: list[int] = HELVETICA) -> list[st
 def _wrapped(text: str, limit: float, widths: list[int]) -> list[tuple[str, bool]]:
     """The lines, and whether each ends its paragraph."""
     out: list[tuple[str, bool]] = []
-    space = char_width(widths, " ")
+    table = table_of(widths)
+    space, width = table[" "], table.__getitem__
     for paragraph in text.replace("\r", "").removesuffix("\n").split("\n"):
         line, used, empty = "", 0.0, True
         for word in paragraph.split(" "):
-            size = text_width(widths, word)
+            size = sum(map(width, word))
             if empty:
                 line, used, empty = word, size, False
             elif used + space + size <= limit:
@@ -45,12 +46,12 @@ def _wrapped(text: str, limit: float, widths: list[int]) -> list[tuple[str, bool
                 line, used = word, size
             while used > limit and len(line) > 1:
                 n, room = 0, limit
-                while n < len(line) and (room := room - char_width(widths, line[n])) >= 0:
+                while n < len(line) and (room := room - table[line[n]]) >= 0:
                     n += 1
                 n = max(1, n)
                 out.append((line[:n], False))
                 line = line[n:]
-                used = text_width(widths, line)
+                used = sum(map(width, line))
         out.append((line, True))
     return out
 

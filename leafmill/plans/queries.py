@@ -512,7 +512,7 @@ def bitmap_pack(spark, sf_dir):
 @query("SELECT doc_id, md5(regexp_replace(text, '[ \\n]', '', 'g')) AS text_md5, 0::BIGINT AS too_wide FROM documents")
 def wrap_lines(spark, sf_dir):
     """Whole documents in lines of 300 points: no line is too wide, and together they are the text that went in."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     lines = render.wrap(docs, width=300.0, size=12.0)
     letters = {chr(32 + i): w for i, w in enumerate(HELVETICA)} | {c: render.width_of(c) for c in "éóèñüçäöêßíÉÈÑÓÇÊÜÖÄÍ"}
     wide = scalar.string_width(F.col("line"), letters, render.MISSING, 12) > 300.0001
@@ -524,7 +524,7 @@ def wrap_lines(spark, sf_dir):
 def render_cells(spark, sf_dir):
     """A file for each conversation, a wrapped cell for each turn's whole text, pages as needed; every text is found again."""
     turns = _table(spark, sf_dir, "conversations")
-    cells = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), "text")
+    cells = _spread(turns).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), "text")
     texts = documents.pdf_text(render.documents(cells)).select(F.col("doc_id").alias("conv_id"), F.md5(F.regexp_replace("text", "[ \n]", "")).alias("text_md5"))
     return turns.groupBy("conv_id").agg(F.count("*").alias("n_cells")).join(texts, "conv_id")
 

@@ -22,6 +22,8 @@ def test_filter_cases():
     assert filters.ascii_hex_decode(b"7>") == b"p"
     assert filters.ascii85_decode(b"87cURD]i,\"Ebo80~>") == b"Hello World!"
     assert filters.ascii85_decode(b"z~>") == bytes(4)
+    assert filters.ascii85_decode(filters.ascii85_encode(b"\x00\x01\x02\x5c")) == b"\x00\x01\x02\x5c"
+    assert all(filters.ascii85_decode(filters.ascii85_encode(bytes([i, j]))) == bytes([i, j]) for i in range(256) for j in range(256))
     assert filters.lzw_decode(bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01])) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])
     with pytest.raises(filters.FilterError):
         filters.decode(b"", ["Nothing"])
