@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import string
-from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
