@@ -18,6 +18,8 @@ from leafmill.functions.text import fonts_of
 
 #: Files are read whole, so few of them go to Python at a time; texts to make files of are smaller.
 BATCH_FILES, BATCH_TEXTS = 16, 256
+#: Rows of a scan, and bytes of their values, that are held before they are sent on: a file may have any number.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 4096, 16 << 20
 
 
 def _limit_batches(spark: SparkSession) -> None:
@@ -54,14 +56,25 @@ def _scan(files: DataFrame, schema: str, rows_of, keep: tuple[str, ...] = ("doc_
 
     def run(batches):
         for batch in _in_parts(batches, BATCH_FILES):
-            at, out = [], []
+            at, out, held = [], [], 0
+
+            def made(batch=batch, at=at, out=out):
+                kept = [batch.column(k).take(pa.array(at, pa.int32())) for k in keep]
+                columns = [pa.array([r.get(n) for r in out], target.field(n).type) for n in target.names]
+                return pa.RecordBatch.from_arrays([*kept, *columns], [*keep, *target.names])
+
             for i, content in enumerate(batch.column("content")):
                 for row in one(content.as_py() or b""):
                     at.append(i)
                     out.append(row)
-            kept = [batch.column(k).take(pa.array(at, pa.int32())) for k in keep]
-            made = [pa.array([r.get(n) for r in out], target.field(n).type) for n in target.names]
-            yield pa.RecordBatch.from_arrays([*kept, *made], [*keep, *target.names])
+                    held += sum(len(v) for v in row.values() if isinstance(v, (bytes, str)))
+                    if len(out) >= ROWS_AT_ONCE or held >= BYTES_AT_ONCE:
+                        yield made()
+                        at.clear()
+                        out.clear()
+                        held = 0
+            if out:
+                yield made()
 
     return rows.mapInArrow(run, full)
 

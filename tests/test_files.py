@@ -173,6 +173,15 @@ def test_documents_without_text_keep_their_rows(spark):
     assert {(r.b, r.c, r.d) for r in sizes.collect()} == {(True, False, True)}
 
 
+def test_rows_of_large_files_go_on_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(documents, "ROWS_AT_ONCE", 7)
+    files = documents.create(spark.createDataFrame([(i, "\n".join(f"p{i} {k}" for k in range(20 + i))) for i in range(5)], "doc_id long, text string"))
+    assert documents.pdf_page_text(files).count() == sum(20 + i for i in range(5))
+    monkeypatch.setattr(documents, "BYTES_AT_ONCE", 10)
+    parts = documents.split_pages(files).collect()
+    assert {(r.doc_id, r.page_no): texts_of(bytes(r.content)) for r in parts} == {(i, k + 1): [f"p{i} {k}"] for i in range(5) for k in range(20 + i)}
+
+
 def test_deep_graphs_are_walked_to_the_end(spark):
     from leafmill.sources import shared_checkpoints
 
