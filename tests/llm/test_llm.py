@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out accuracy."""
 
 import collections
+import dataclasses
 import hashlib
 import math
 import random
@@ -914,6 +915,77 @@ def test_language_model_on_odd_rows(spark, odd):
     assert maxent.classes_of([(b"b", 5), (b"a", 5), (b" ", 9)]) == maxent.classes_of([(b" ", 9), (b"a", 5), (b"b", 5)])
 
 
+def test_contexts_follow_the_training_tokens():
+    for tokens in (1 << 20, 1 << 24, (1 << 24) + 1, 1 << 28, 10**10, 10**13):
+        contexts = maxent.shards_of(tokens) * maxent.buckets_of(tokens)
+        assert tokens / maxent.BUCKET_TOKENS <= contexts < 2 * tokens / maxent.BUCKET_TOKENS + maxent.SHARD_BUCKETS
+        assert maxent.buckets_of(tokens) <= maxent.BUCKETS[1]
+
+
+def test_dealt_contexts_equal_plain_shards(spark, docs, monkeypatch):
+    """Contexts in shards against shards learnt one by one, with hot words, repeated texts and documents cut by windows."""
+    for name, value in (("HEAD_SHARE", 300), ("BUCKET_TOKENS", 64), ("BUCKETS", (16, 32)), ("SHARD_BUCKETS", 64), ("WINDOW_TOKENS", 500), ("WINDOW_DOCS", 40)):
+        monkeypatch.setattr(maxent, name, value)
+    rows = [(r.doc_id, r.text) for r in docs.where("doc_id < 90").collect()]
+    rows += [(1000 + i, rows[i][1]) for i in range(5)] + [(2000, None), (2001, ""), (2002, "x"), (2003, "the " * 300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    train = spark.createDataFrame([(i, t or "") for i, t in rows if not held[i]], "doc_id long, text string")
+    turn = {r.doc_id: r.turn for r in train.select("doc_id", maxent._turn(train.columns, maxent.ROUNDS).alias("turn")).collect()}
+    model, table = maxent.start(train)
+    counts = {bytes(r.token): r.n for r in table.collect()}
+    shards, most = maxent.shards_of(model.tokens), 64 * 64 // 4
+    assert shards > 3
+    assert sum(n > most for n, _ in model.head.values()) > 0
+    with pytest.raises(ValueError, match="shards"):
+        maxent.fit(train)
+    words, tokens, want = maxent.Words(model.head), collections.defaultdict(list), collections.Counter()
+    for i, t in rows:
+        toks = maxent.tokens_of(t or "")
+        ids = np.array([0] * 8 + [words[w] for w in toks])
+        words.learn()
+        places = np.arange(8, len(ids))
+        contexts, cls = np.stack(maxent._contexts(ids, places, words, model.buckets)), words.cls[ids[places]]
+        for k, s in enumerate(maxent._shards(ids, places, words, shards, most).tolist()):
+            tokens[s].append((i, turn.get(i), contexts[:, k], int(cls[k])))
+        want[i] = sum(math.log10(counts.get(w, 0) + 1) - model.log_size[c] for w, c in zip(toks, cls, strict=True))
+    assert len(tokens) == shards
+    assert max(map(len, tokens.values())) < 0.6 * sum(map(len, tokens.values()))
+    for own in tokens.values():
+        part = dataclasses.replace(model, weights=np.zeros_like(model.weights))
+        for k in range(maxent.ROUNDS):
+            grid = np.zeros((1 + maxent.CLASSES, len(part.weights) + 1))
+            for _, _, c, cls in (x for x in own if x[1] == k):
+                part.add_rest(list(c[:, None]), np.array([cls]), grid)
+            part.update(grid, k)
+        for i, _, c, cls in own:
+            want[i] += part.log_classes(list(c[:, None]))[0, cls] / math.log(10)
+    got = {r.doc_id: r.score for r in maxent.score(frame).collect()}
+    assert got == {i: pytest.approx(x, rel=1e-4, abs=1e-3) for i, x in want.items()}
+    assert all(got[1000 + i] == pytest.approx(got[rows[i][0]], rel=1e-9) for i in range(5))
+
+
+def test_windows_of_dealt_tokens_make_no_difference(spark, odd, monkeypatch):
+    """A text that goes on in another window, null and repeated ids, clashing columns."""
+    for name, value in (("BUCKET_TOKENS", 64), ("BUCKETS", (16, 32)), ("SHARD_BUCKETS", 64)):
+        monkeypatch.setattr(maxent, name, value)
+    long = spark.createDataFrame([(9, "a b c d e " * 60_000, "c"), (10, "a b", "c")], "doc_id long, text string, score string")
+    frame = odd.unionByName(long).coalesce(2).withColumns({"key": F.lit("k"), "turn": F.lit("t"), "base": F.lit(7), "n": F.lit(1), "class_log": F.lit("l")})
+
+    def scores():
+        return sorted((r.doc_id or 0, r.n_tokens, r.score) for r in maxent.score(frame).collect())
+
+    whole = scores()
+    assert len(whole) == len(ODD) + 2
+    assert all(math.isfinite(s) and s < 0 for _, _, s in whole)
+    assert {n for i, n, _ in whole if i == 9} == {300_001}
+    monkeypatch.setattr(maxent, "WINDOW_TOKENS", 1000)
+    monkeypatch.setattr(maxent, "WINDOW_DOCS", 2)
+    for (i, n, s), (j, m, t) in zip(whole, scores(), strict=True):
+        assert (i, n) == (j, m)
+        assert s == pytest.approx(t, rel=1e-4, abs=1e-3)
+
+
 # Pipeline ------------------------------------------------------------------------------------------
 
 
