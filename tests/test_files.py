@@ -2,13 +2,14 @@
 
 import struct
 import sys
+import time
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from leafmill import sql
-from leafmill.functions import assemble, charsets, fonts, images, scalar
+from leafmill.functions import assemble, charsets, filters, fonts, images, scalar
 from leafmill.functions.objects import File, Name, Ref, Stream, last_startxref, read_value, references, serialize
 from leafmill.functions.text import page_text, parse_cmap, units_text
 from leafmill.operators import documents, render
@@ -436,3 +437,21 @@ def test_png_rows():
         n = width * {0: 1, 2: 3, 6: 4}[kind]
         rows = b"".join(b"\0" + bytes((x * 7 + y) % 256 for x in range(n)) for y in range(height))
         assert data == rows if data is not None else zlib.compress(rows) in queries._png(width, height, kind)
+
+
+def test_filters_in_time_and_as_before():
+    def slow(digits):
+        groups = [[c - 33 for c in digits[a : a + 5]] for a in range(0, len(digits), 5)]
+        return b"".join(filters._base85(g + [84] * (5 - len(g)))[: len(g) - 1] for g in groups)
+
+    for n in range(12):
+        digits = bytes(33 + (7 * n + 31 * i) % 85 for i in range(n))
+        assert filters.ascii85_decode(digits + b"~>") == slow(digits)
+    assert filters.ascii85_decode(b"uuuuuz!!~>") == slow(b"uuuuu") + bytes(4) + slow(b"!!")
+    data = struct.pack(">500000I", *(i * 2654435761 & 0xFFFFFFFF for i in range(500000)))
+    coded = filters.encode(data, ["ASCII85Decode"])
+    start = time.process_time()
+    assert filters.decode(coded, ["ASCII85Decode"]) == data
+    assert time.process_time() - start < 0.4
+    for part in (b"", b"a", b"aaaa", data[:30000], b"ab" * 9000):
+        assert filters.decode(filters.encode(part, ["LZWDecode"]), ["LZWDecode"]) == part
