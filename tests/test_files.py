@@ -455,3 +455,8 @@ def test_filters_in_time_and_as_before():
     assert time.process_time() - start < 0.4
     for part in (b"", b"a", b"aaaa", data[:30000], b"ab" * 9000):
         assert filters.decode(filters.encode(part, ["LZWDecode"]), ["LZWDecode"]) == part
+
+
+def test_values_read_the_same_in_short_and_long_form():
+    for text, want in ((b"<</A 1/B 2 0 R/C[1 2 3 0 R 4 -5 +6 7.5 .5]/D(x)/E/F>>", {"A": 1, "B": Ref(2, 0), "C": [1, 2, Ref(3, 0), 4, -5, 6, 7.5, 0.5], "D": b"x", "E": "F"}), (b"[1 %c\n2 0 R 3", [1, Ref(2, 0), 3]), (b"<</A/B/C>>", {"A": "B", "C": None})):
+        assert read_value(text, 0)[0] == want
